@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
 from .components import hash_to_min, link_edges
+from .neardup import near_duplicates
 from .survivor import survivorship
 from .topn import top_n
 
@@ -20,6 +22,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(read_table(spark, d, "candidate_pairs"), "id1", "id2", "similarity", 10)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    props = read_table(spark, d, "propositions").select(F.lit("prop").alias("kind"), F.col("prop_id").alias("id"), "text")
+    return near_duplicates(docs.unionByName(props))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship(read_table(spark, d, "fused_entities"), read_table(spark, d, "entity_candidate_groups"))
 
@@ -27,6 +35,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p5_found": p5_found,
 }
 
