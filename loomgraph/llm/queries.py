@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from .components import hash_to_min, link_edges
+from .knn import similar_pairs
 from .leakage import leak_report, leaked_items
 from .neardup import near_duplicates
 from .survivor import survivorship
@@ -33,6 +34,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship(read_table(spark, d, "fused_entities"), read_table(spark, d, "entity_candidate_groups"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(read_table(spark, d, "embedding_responses"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     items = read_table(spark, d, "test_questions").select("question_id", F.array("passage", "question").alias("texts"))
     return leaked_items(read_table(spark, d, "documents"), items)
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
     "p9_found": p9_found,
     "p9_report": p9_report,
 }
