@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from .components import hash_to_min, link_edges
+from .defects import defective_pairs
 from .knn import similar_pairs
 from .leakage import leak_report, leaked_items
 from .neardup import near_duplicates
+from .packing import pack, pack_report, token_counts
 from .survivor import survivorship
 from .topn import top_n
+from .truncation import truncated, truncation_report
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,14 +50,40 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(p9_found(spark, d), read_table(spark, d, "test_questions"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return defective_pairs(read_table(spark, d, "answer_results"), read_table(spark, d, "test_questions"), read_table(spark, d, "documents"))
+
+
+def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(read_table(spark, d, "documents")))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack_report(p8_contexts(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return truncation_report(docs, truncated(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p8_contexts": p8_contexts,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_sources": p10_sources,
 }
 
 # Fixed values shared by the SQL: texts that name nothing.
