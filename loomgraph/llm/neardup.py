@@ -16,12 +16,19 @@ from .words import WordKeys, chunks, mix, words
 
 #: Buckets of the document-frequency sketch: its size is fixed, whatever the vocabulary.
 SKETCH = 1 << 18
+#: Share of the records from which a word counts as common.
+COMMON = 1 / 2500
+#: How much less often than a rare word a common one is picked, at most: a single odd word must not decide.
+HANDICAP = 8.0
 #: Base coordinates of a signature, and those two records must share to be a candidate.
-BASE, SHARED = 24, 6
-#: Posted coordinates, each made of three base coordinates, and the posted ones two records must share.
-POSTED, MATCHES = 32, 2
+BASE, SHARED = 32, 8
+#: Posted coordinates, each made of three base coordinates.
+POSTED = 32
+#: A posting carries two bits of every base coordinate, a class four; two unlike coordinates agree in them by
+#: chance once in 4 or 16 times. So many fields of a pair must agree to be a candidate.
+AGREE2, AGREE4 = 15, 10
 #: A posting list up to this length is merged, a longer one is skipped and split.
-LIST = 64
+LIST = 2_048
 #: Groups of same-word copies up to this size are given as all their pairs, larger ones as
 #: representative and member.
 EXPANDED = 32
@@ -32,33 +39,33 @@ def _design() -> list[tuple[int, int, int]]:
     rng, out = np.random.default_rng(7), []
     while len(out) < POSTED:
         order = rng.permutation(BASE)
-        out += [t for t in (tuple(sorted(map(int, order[i : i + 3]))) for i in range(0, BASE, 3)) if t not in out]
+        out += [t for t in (tuple(sorted(map(int, order[i : i + 3]))) for i in range(0, BASE - 2, 3)) if t not in out]
     return out[:POSTED]
 
 
 TRIPLES = _design()
 
 
-def _sketch(records: DataFrame) -> np.ndarray:
-    """In how many records each bucket of words occurs, over all records."""
+def _sketch(records: DataFrame) -> tuple[np.ndarray, float]:
+    """In how many records each bucket of words occurs, and in how many a common word does (8 at least), over all records."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, keys = np.zeros(SKETCH, np.int64), WordKeys()
+        total, keys, seen = np.zeros(SKETCH, np.int64), WordKeys(), 0
         for batch in batches:
+            seen += len(batch)
             for text in batch["text"]:
                 k = keys.of(list(set(words(text))))
                 np.add.at(total, (k % np.uint64(SKETCH)).astype(np.int64), 1)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield pd.DataFrame({"bucket": [*at, -1], "n": [*total[at], seen]})
 
     rows = records.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    # only the order is used; steps of a tenth keep it in 16 bits and the same at every size
-    return np.round(np.log1p(sketch) * 100).astype(np.uint16)
+    sketch = np.zeros(SKETCH + 1, np.int64)
+    sketch[rows["bucket"].to_numpy()] = rows["n"].to_numpy()  # -1, the last place, has the records
+    return sketch[:-1], max(8.0, sketch[-1] * COMMON)
 
 
-def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text of a chunk: two keys of its bag of words, and its signature."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     order = np.lexsort((k, row))
@@ -67,22 +74,38 @@ def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray) -> tuple
     first[1:] = (k[1:] != k[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(first)
     nth = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
-    rarity = sketch[(k % np.uint64(SKETCH)).astype(np.int64)]
+    share = sketch[(k % np.uint64(SKETCH)).astype(np.int64)]
     element = mix(k + mix(nth.astype(np.uint64), 1), 2)  # a word and which of its occurrences it is
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     with np.errstate(over="ignore"):
         bag1, bag2 = np.add.reduceat(mix(element, 3), begin), np.add.reduceat(mix(element, 4), begin)
     # coordinates look at the rarer half: words that most records have would fill long posting lists
-    order = np.lexsort((element, rarity, row))
+    order = np.lexsort((element, share, row))
     keep = np.arange(len(k)) - np.repeat(begin, lengths) < np.repeat((lengths + 1) // 2, lengths)
     half, at = element[order][keep], np.concatenate(([0], np.cumsum((lengths + 1) // 2)[:-1]))
+    # and within it the more a word is common the less it is picked, so words of set phrases rarely are
+    handicap = np.clip(share[order][keep] / common, 1.0, HANDICAP)
     signature = np.empty((len(lengths), BASE), np.int32)
     for c in range(BASE):
-        signature[:, c] = (np.minimum.reduceat(mix(half, 10 + c), at) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        u = ((mix(half, 10 + c) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        least = np.minimum.reduceat(-np.log(u) * handicap, at)
+        signature[:, c] = (mix(least.view(np.uint64), 5) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
     return bag1.view(np.int64), bag2.view(np.int64), signature
 
 
-def _signed(records: DataFrame, sketch: np.ndarray, least_words: int) -> DataFrame:
+def _fields(signature: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bits of each of 64/width coordinates in one number, a row each."""
+    low = (signature.view(np.uint32) & np.uint32((1 << width) - 1)).astype(np.uint64)
+    return (low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(width))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 32 two-bit fields are equal."""
+    d = (x ^ y).view(np.uint64)
+    return 32 - np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int64)
+
+
+def _signed(records: DataFrame, sketch: tuple[np.ndarray, float], least_words: int) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,87 +116,114 @@ def _signed(records: DataFrame, sketch: np.ndarray, least_words: int) -> DataFra
                 if not long.any():
                     continue
                 k = k[np.repeat(long, lengths)]
-                bag1, bag2, signature = _signatures(lengths[long], k, shared.value)
+                bag1, bag2, signature = _signatures(lengths[long], k, *shared.value)
                 part = batch.iloc[rows[long]]
-                yield pd.DataFrame({"kind": part["kind"].to_numpy(), "id": part["id"].to_numpy(), "bag": bag1, "bag2": bag2, "sig": list(signature)})
+                yield pd.DataFrame({"kind": part["kind"].to_numpy(), "id": part["id"].to_numpy(), "bag": bag1, "bag2": bag2, "two": _fields(signature, 2), "four1": _fields(signature[:, :16], 4), "four2": _fields(signature[:, 16:], 4), "sig": list(signature)})
+
+    return records.mapInPandas(sign, "kind string, id long, bag long, bag2 long, two long, four1 long, four2 long, sig array<int>")
+
 
-    return records.mapInPandas(sign, "kind string, id long, bag long, bag2 long, sig array<int>")
+def _alike(ids: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one posting list whose two-bit fields agree enough, row by row of the list's triangle."""
+    a, b = [], []
+    step = max(1, (1 << 21) // max(1, len(ids)))
+    for at in range(0, len(ids), step):
+        i, j = np.nonzero(_agreeing(two[at : at + step, None], two[None, :]) >= AGREE2)
+        later = j > i + at
+        a.append(ids[i[later] + at]), b.append(ids[j[later]])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _pairs_of_runs(postings: DataFrame) -> DataFrame:
-    """Postings (key, id) sorted by key: pairs (a, b) of lists up to LIST, and rows (a, key, step) of longer ones; pairs have step -1."""
+    """Postings (key, id, two, step) sorted by key: pairs (a, b) of lists up to LIST with step -1, and rows
+    (a, two as b, key, step) of longer lists."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, skipping = None, np.empty(0, np.int64), False
+        def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": np.int64(0), "step": np.int32(-1)})
+
+        last, skipping, ids, two = None, False, np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            key, rid, step = batch["key"].to_numpy(), batch["id"].to_numpy(), batch["step"].to_numpy()
+            key, rid, bits, step = (batch[c].to_numpy() for c in ("key", "id", "two", "step"))
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(cut, len(key)))
             a, b, longs = [], [], []
-            if last is not None and key[0] == last[0]:  # goes on from the batch before
-                ids = np.concatenate((ids, rid[: size[0]]))
-                head, cut, size = 1, cut[1:], size[1:]
-            else:
-                head = 0
-            done = bool(len(cut)) or not head
             if last is not None:
+                on = key[0] == last[0]  # the list goes on from the batch before
+                if on:
+                    ids, two = np.concatenate((ids, rid[: size[0]])), np.concatenate((two, bits[: size[0]]))
+                    cut, size = cut[1:], size[1:]
                 if skipping or len(ids) > LIST:
                     skipping = True
-                    longs.append((last, ids))
-                    ids = np.empty(0, np.int64)
-                elif done:
-                    i, j = np.triu_indices(len(ids), 1)
-                    a.append(ids[i]), b.append(ids[j])
-            if len(cut):
+                    longs.append((last, ids, two))
+                    ids, two = ids[:0], two[:0]
+                elif len(cut) or not on:
+                    for out, x in zip((a, b), _alike(ids, two), strict=True):
+                        out.append(x)
+            if len(cut):  # the last list of the batch may go on
                 last, skipping = (key[cut[-1]], step[cut[-1]]), False
-                ids = rid[cut[-1] :]
+                ids, two = rid[cut[-1] :], bits[cut[-1] :]
                 cut, size = cut[:-1], size[:-1]
-                for n in np.unique(size[(size > 1) & (size <= LIST)]):
-                    block = rid[cut[size == n][:, None] + np.arange(n)]
+                for n in np.unique(size[(size > 1) & (size <= 32)]):  # lists of one length at once
+                    at = cut[size == n][:, None] + np.arange(n)
                     i, j = np.triu_indices(n, 1)
-                    a.append(block[:, i].ravel()), b.append(block[:, j].ravel())
-                for at, n in zip(cut[size > LIST], size[size > LIST], strict=True):
-                    longs.append(((key[at], step[at]), rid[at : at + n]))
+                    same = _agreeing(bits[at[:, i]], bits[at[:, j]]) >= AGREE2
+                    a.append(rid[at[:, i]][same]), b.append(rid[at[:, j]][same])
+                for k, n in zip(cut[size > 32], size[size > 32], strict=True):
+                    if n > LIST:
+                        longs.append(((key[k], step[k]), rid[k : k + n], bits[k : k + n]))
+                    else:
+                        for out, x in zip((a, b), _alike(rid[k : k + n], bits[k : k + n]), strict=True):
+                            out.append(x)
             if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": np.int64(0), "step": np.int32(-1)})
-            for (k, s), members in longs:
+                yield pairs(a, b)
+            for (k, s), members, t in longs:
                 if len(members):
-                    yield pd.DataFrame({"a": members, "b": np.int64(0), "key": k, "step": s})
-        if last is not None:
+                    yield pd.DataFrame({"a": members, "b": t, "key": k, "step": s})
+        if last is not None and len(ids):
             if skipping or len(ids) > LIST:
-                yield pd.DataFrame({"a": ids, "b": np.int64(0), "key": last[0], "step": last[1]})
+                yield pd.DataFrame({"a": ids, "b": two, "key": last[0], "step": last[1]})
             else:
-                i, j = np.triu_indices(len(ids), 1)
-                yield pd.DataFrame({"a": ids[i], "b": ids[j], "key": np.int64(0), "step": np.int32(-1)})
+                yield pairs(*([x] for x in _alike(ids, two)))
 
     return postings.repartition("key").sortWithinPartitions("key", "id").mapInPandas(merge, "a long, b long, key long, step int")
 
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of class ids whose signatures share enough coordinates."""
-    posted = F.array(*[F.struct(F.xxhash64(F.lit(n), "kind", *[F.element_at("sig", c + 1) for c in t]).alias("key"), F.lit(n).cast("int").alias("step")) for n, t in enumerate(TRIPLES)])
-    lists = classes.select("id", F.inline(posted)).select("key", "id", F.lit(0).alias("step"))
+    posted = F.array(*[F.xxhash64(F.lit(n), "kind", *[F.element_at("sig", c + 1) for c in t]) for n, t in enumerate(TRIPLES)])
+    lists = classes.select(F.explode(posted).alias("key"), "id", "two", F.lit(0).alias("step"))
     merged = scratch.write(_pairs_of_runs(lists), "merged")
-    found = [merged.filter("step < 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MATCHES).select("a", "b")]
+    scratch.release()
+    found = [merged.filter("step < 0").select("a", "b")]
     # A list too long to merge is split by a further coordinate. Two records that share SHARED of the BASE
     # coordinates share, in their order, one of the first BASE-SHARED+1, then one of the first
     # BASE-SHARED+2 behind it and so on, so no candidate is lost; after SHARED steps all of a list qualify.
     level = 0
     while level < SHARED:
-        longs = merged.filter("step >= 0").select(F.col("a").alias("id"), "key", "step")
+        longs = merged.filter("step >= 0").select(F.col("a").alias("id"), F.col("b").alias("two"), "key", "step")
         if not longs.limit(1).count():
-            return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            break
         level += 1
         after = longs.join(classes.select("id", "sig"), "id")
         parts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(BASE - SHARED + level)), lambda c: F.struct(F.xxhash64("key", c, F.element_at("sig", c)).alias("key"), c.cast("int").alias("step"), (c > F.col("step")).alias("ok"))), lambda x: x["ok"])
-        split = after.select("id", F.explode(parts).alias("p")).select(F.col("p.key").alias("key"), "id", F.col("p.step").alias("step"))
+        split = after.select("id", "two", F.explode(parts).alias("p")).select(F.col("p.key").alias("key"), "id", "two", F.col("p.step").alias("step"))
         merged = scratch.write(_pairs_of_runs(split), "merged")
         found.append(merged.filter("step < 0").select("a", "b"))
-    rest = merged.filter("step >= 0").select("key", F.col("a").alias("id"))
-    found.append(rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    else:
+        rest = merged.filter("step >= 0").select("key", F.col("a").alias("id"))
+        found.append(rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _agreeing4(x: str, y: str):
+    """How many of the 16 four-bit fields of two numbers are equal."""
+    d = F.col(x).bitwiseXOR(F.col(y))
+    half = d.bitwiseOR(F.shiftright(d, 1))
+    some = half.bitwiseOR(F.shiftright(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return F.lit(16) - F.bit_count(some)
+
+
 def common_share(a: str, b: str) -> tuple[int, int]:
     """Common words counted with repetition, and words of the longer text."""
     x, y = Counter(words(a)), Counter(words(b))
@@ -188,11 +238,12 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     repetition and in any order, over the words of the longer text, at least ``threshold`` (a fraction).
 
     Records with the same bag of words form a class and are compared once. Every class has a signature of
-    24 min-wise coordinates over the rarer half of its (word, occurrence) elements; rarity comes from a
+    32 min-wise coordinates over the rarer half of its (word, occurrence) elements; rarity comes from a
     fixed-size sketch of word frequencies over all records. Triples of coordinates are posted to an
-    inverted index under (coordinate, value). Posting lists are merged and collisions counted; a pair with
-    enough collisions is a candidate. Lists too long to merge are skipped and split by further coordinates
-    in prefix order, which loses no pair that shares 6 of the 24. Candidates are checked on the whole texts.
+    inverted index under (coordinate, value). When a posting list is merged, the collisions of every pair
+    are counted on a few bits of all 32 coordinates, and pairs above the match threshold are candidates.
+    Lists too long to merge are skipped and split by further coordinates in prefix order, which loses no
+    pair that shares 8 of the 32. Candidates are checked on the whole texts.
 
     Defined cases: null texts and texts under ``least_words`` words are in no pair; repeated rows of one id
     are one record; classes of up to 32 copies give all their pairs, larger ones a pair of the smallest id
@@ -202,16 +253,19 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
     records = records.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
-    signed = scratch.write(_signed(records, _sketch(records), least_words), "signed")
-    # ids of different kinds may be equal; classes are known by the first key of their bag and kind
-    signed = signed.withColumn("cid", F.xxhash64("kind", "bag", "bag2"))
-    members = signed.select("kind", "id", "cid").distinct()
-    classes = scratch.write(signed.groupBy("kind", "cid").agg(F.min(F.struct("id", "sig")).alias("m"), F.count(F.lit(1)).alias("size")).select("kind", F.col("cid").alias("id"), F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), "size"), "classes")
+    # ids of different kinds may be equal; classes are known by a key of their kind and bag
+    signed = scratch.write(_signed(records, _sketch(records), least_words).withColumn("cid", F.xxhash64("kind", "bag", "bag2")).drop("bag", "bag2"), "signed")
+    members = scratch.write(signed.select("kind", "id", "cid").distinct(), "members")
+    first = signed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"), F.count(F.lit(1)).alias("size"))
+    classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig", "size"), "classes")
+    scratch.drop(signed)
+    scratch.release()
     near = _candidates(classes, scratch)
 
     rep = classes.select("kind", F.col("id").alias("cid"), "rep", "size")
-    pairs = near.join(rep.select("kind", F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("kind").alias("kind_b"), F.col("cid").alias("b"), F.col("rep").alias("rb")), "b").filter("kind = kind_b")
-    pairs = scratch.write(pairs.select("kind", "a", "b", "ra", "rb"), "pairs")
+    end = lambda e: classes.select(F.col("id").alias(e), F.col("kind").alias(f"kind_{e}"), F.col("rep").alias(f"r{e}"), F.col("four1").alias(f"x{e}"), F.col("four2").alias(f"y{e}"))
+    pairs = near.join(end("a"), "a").join(end("b"), "b").filter((F.col("kind_a") == F.col("kind_b")) & (_agreeing4("xa", "xb") + _agreeing4("ya", "yb") >= AGREE4))
+    pairs = scratch.write(pairs.select(F.col("kind_a").alias("kind"), "a", "b", "ra", "rb"), "pairs")
     scratch.release()
     ends = pairs.select("kind", F.explode(F.array("ra", "rb")).alias("id")).distinct()
     texts = scratch.write(records.join(ends, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.min("text").alias("text")), "texts")
