@@ -14,6 +14,7 @@ from .knn import similar_pairs
 from .leakage import leak_report, leaked_items
 from .neardup import near_duplicates
 from .packing import pack, pack_report, token_counts
+from .spellings import link_spellings
 from .survivor import survivorship
 from .topn import top_n
 from .truncation import truncated, truncation_report
@@ -33,6 +34,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(docs.unionByName(props))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    named = read_table(spark, d, "entities").select("text").unionByName(read_table(spark, d, "fused_entities").select(F.col("fused_text").alias("text")))
+    return link_spellings(named)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship(read_table(spark, d, "fused_entities"), read_table(spark, d, "entity_candidate_groups"))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
