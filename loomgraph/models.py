@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 
 class TextModel(Protocol):
@@ -34,7 +35,7 @@ def complete(rows: DataFrame, prompt: str, model: Callable[[], TextModel], retri
 
     ``model`` builds the client on the worker, once per task.
     """
-    schema = rows.schema.add("reply", "string").add("ok", "boolean")
+    schema = StructType([*rows.schema.fields, StructField("reply", StringType()), StructField("ok", BooleanType())])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = model()
