@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .endings import cut_at_end
 
 #: Lengths on either side whose hazards a length is tested against.
@@ -55,9 +56,11 @@ def truncated(documents: DataFrame) -> DataFrame:
     Defined cases: null and blank texts are no case and are not measured; a null source is a source of its
     own; repeated rows count once in the result; empty input, empty result; other columns are ignored.
     """
+    scratch = Scratch(documents.sparkSession, "truncation")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND trim(text) <> ''")
     measured = docs.select("source", F.inline(F.array(F.struct(F.lit("chars").alias("measure"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.octet_length("text").alias("length")))))
-    limits = significant_lengths(length_hazards(measured))
+    # the hazards are read by several steps: the texts are measured once
+    limits = scratch.write(significant_lengths(scratch.write(length_hazards(measured), "hazards")), "limits")
     limit = lambda m: limits.filter(F.col("measure") == m).select("source", F.col("length").alias(m), F.lit(True).alias(f"at_{m}"))
 
     @F.pandas_udf("int")
