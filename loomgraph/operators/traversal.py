@@ -64,7 +64,7 @@ def beam_search(starts: DataFrame, adjacency: DataFrame, vectors: DataFrame, que
     visited = scratch.write(frontier.join(ents, "node_id").select("question_id", "entity").distinct(), "visited")
     for d in range(1, depth + 1):
         met = new_entities(neighbours(frontier.select("question_id", "raw_score", "path", "node_id"), adjacency, list(active)), adjacency, visited)
-        scored = met.join(vectors.select(F.col("node_id").alias("to"), "vec"), "to").join(F.broadcast(questions.select("question_id", F.col("vec").alias("q"))), "question_id")
+        scored = met.join(vectors.select(F.col("node_id").alias("to"), "vec"), "to").join(questions.select("question_id", F.col("vec").alias("q")), "question_id")
         scored = scored.withColumn("score", total_score(semantic_score(F.col("q"), F.col("vec")), bridge_score(F.col("new"), F.lit(float(norm))))).drop("vec", "q")
         order = [F.col("score").desc(), F.col("to"), F.col("node_id")]
         best = scored.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(F.col("r") <= width)

@@ -595,7 +595,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     adj = graph.adjacency(_nodes(s, d), _edges(s, d))
     anchors = _anchors(s, d).select("question_id", "node_id")
     hop = traversal.neighbours(anchors, adj, ["SKELETON", "DETAIL"]).select("question_id", F.col("to").alias("node_id"))
-    reached = anchors.unionByName(hop).distinct().join(_prop_vectors(s, d), "node_id").join(F.broadcast(_questions(s, d).select("question_id", F.col("vec").alias("q"))), "question_id")
+    reached = anchors.unionByName(hop).distinct().join(_prop_vectors(s, d), "node_id").join(_questions(s, d).select("question_id", F.col("vec").alias("q")), "question_id")
     best = reached.groupBy("question_id", "doc_id").agg(F.max(traversal.semantic_score(F.col("q"), F.col("vec"))).alias("score"))
     rank = graph.window_rank(["question_id"], [F.col("score").desc(), F.col("doc_id")]).cast("int")
     return best.withColumn("doc_rank", rank).filter(F.col("doc_rank") <= 5)
