@@ -7,32 +7,49 @@ import re
 # What is put behind a cut.
 _MARK = re.compile(r"(?:\s*(?:\.\.\.|…|&hellip;|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|[\[(<]\s*(?:read |see )?(?:more|continued|truncated|cut|cont\.?|fortsetzung|suite|sigue)\s*[\])>]|\b(?:read more|continue reading|show more|see more|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo)\b[\s.:>»]*|»+|>>+))+\s*$", re.IGNORECASE)
 _CLOSING_TAGS = re.compile(r"(?:\s*</[A-Za-z][A-Za-z0-9]*\s*>|\s*<br\s*/?>)+\s*$")
-_BROKEN_MARKUP = re.compile(r"(?:<[A-Za-z/][^<>]*|&#?\w{0,8}|�)$")
+_BROKEN_ENTITY = re.compile(r"(?:&#?\w{0,8}|�)$")
 _STOP = re.compile(r"[.!?。؟][\"”“’'»«)\]*_]*$")
-_DOTS = re.compile(r"(?:\.\.\.|…)$")
-_BRACKETED = re.compile(r"[(\[][^()\[\]]*[)\]]$")
 _INITIAL = re.compile(r"(?:\b[^\W\d_]|\b(?:Dr|Mr|Mrs|Ms|St|Mt|Mme|Mlle|Prof|Inst|Corp|Isl|Assn|Gt|Reg|Orch|Mus|Univ|Co|Nr|No|vol|p))\.$")
 _NOTE = re.compile(r"^(?:\[\d+\]|\(\d+\)|\d+[.)]|[—–•*·#-])\s*\S")
 _LABELLED = re.compile(r"^[^\W\d_][^:.!?]{0,40}:\s+\S")
 _DATED = re.compile(r"^[^\W\d_][\w ’'.-]{0,40}\s(?:\d{1,2}[. ]+)?(?:de )?[^\W\d_]{3,12}(?: de)? \d{4}$")
 
 
+#: Characters at the end that patterns anchored there look at: marks, tags and closing quotes are shorter.
+TAIL = 256
+
+
+def _tail(pattern: re.Pattern[str], t: str) -> int:
+    """Where a pattern that reaches the end of the text begins in it; -1 if it doesn't match."""
+    start = max(0, len(t) - TAIL)
+    m = pattern.search(t[start:])
+    return start + m.start() if m else -1
+
+
 def visible(text: str) -> str:
     """The text without blanks and closing tags at its end."""
-    t = text.rstrip(" \t\r\n ​ ﻿")
-    while (m := _CLOSING_TAGS.search(t)) and m.start():
-        t = t[: m.start()].rstrip()
+    t = text.rstrip(" \t\r\n ​ ﻿")
+    while (at := _tail(_CLOSING_TAGS, t)) > 0:
+        t = t[:at].rstrip()
     return t
 
 
+def _broken_markup(t: str) -> bool:
+    at = t.rfind("<")
+    open_tag = at >= 0 and at > t.rfind(">") and t[at + 1 : at + 2].isascii() and (t[at + 1 : at + 2].isalpha() or t[at + 1 : at + 2] == "/")
+    return open_tag or _tail(_BROKEN_ENTITY, t) >= 0
+
+
 def _stops(t: str) -> bool:
-    if _STOP.search(t) and not _DOTS.search(t):
+    if _tail(_STOP, t) >= 0 and not t.endswith(("...", "…")):
         return True
     # a note in brackets behind a whole sentence; a quotation that trails off is closed all the same
     if t.endswith((".\"", ".”", ".»", "…”", "…\"", "...\"", "...”")):
         return True
-    m = _BRACKETED.search(t)
-    return bool(m and _STOP.search(t[: m.start()].rstrip()))
+    at = max(t.rfind("("), t.rfind("["))
+    if t[-1:] in (")", "]") and at >= 0 and ")" not in t[at:-1] and "]" not in t[at:-1]:
+        return _tail(_STOP, t[:at].rstrip()) >= 0
+    return False
 
 
 def _whole_tail(line: str, before: str) -> bool:
@@ -71,21 +88,19 @@ def cut_at_end(text: str | None, at_limit: bool = False) -> bool:
     t = visible(text)
     if not t:
         return False
-    if _BROKEN_MARKUP.search(t):
+    if _broken_markup(t):
         return True
-    m = _MARK.search(t)
-    if m and not t.endswith(("\"", "”", "»")):
-        base = t[: m.start()].rstrip()
-        if base:
-            return not _stops(base) or t[m.start() :].startswith((".", "…")) and not _STOP.search(base)
+    mark = _tail(_MARK, t)
+    if mark > 0 and not t.endswith(("\"", "”", "»")) and (base := t[:mark].rstrip()):
+        return not _stops(base) or t[mark:].startswith((".", "…")) and _tail(_STOP, base) < 0
     if t.endswith(("-", "‐", "–", ",", ";", "(", "[", "/", "“")):
         return True
     if _stops(t):
-        return at_limit and bool(_INITIAL.search(t))
+        return at_limit and _tail(_INITIAL, t) >= 0
     if at_limit:
         return True
-    lines = [x.strip() for x in t.split("\n") if x.strip()]
-    line, before = lines[-1], len(lines) > 1
+    at = t.rfind("\n")
+    line, before = t[at + 1 :].strip(), bool(t[: at + 1].strip())
     if line.lower().strip(":") in _HEADINGS and before:
         return False
     return not _whole_tail(line, before)
