@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,12 @@ def hash_to_min(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
 
     Every vertex v keeps a cluster set C(v), stored as rows (v, u), at first v with its neighbours. In
     each round v sends C(v) to its smallest member m and m to all other members; what arrives is the new
-    C(v). The rounds end when the relation is stable: then the smallest vertex holds the whole component
-    and every other vertex only that smallest one. Vertices are ordered by a 64-bit hash of the id, which
-    keeps the expected number of rounds logarithmic even where ids run along a chain; the group id is the
-    smallest id string of the component, found by one aggregation at the end.
+    C(v). The relation is symmetric, so a vertex that holds one member only is held by that member only and
+    will always share its group: it is settled, and leaves the relation with a pointer to the member. The
+    rounds end when all are settled, in a stable relation everything but the smallest vertices. Pointers are
+    followed by jumping. Vertices are ordered by a 64-bit hash of the id, which keeps the expected number of
+    rounds logarithmic even where ids run along a chain; the group id is the smallest id string of the
+    component, found by one aggregation at the end.
 
     The set of a hub is never held by one task: sets are rows, the smallest member is a partially
     aggregated minimum, and vertices with more than 1/64 of the rows are joined by broadcasting their one
@@ -51,22 +55,32 @@ def hash_to_min(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
 
     pairs = keyed.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("p"))
     state = scratch.write(pairs.select(F.col("p.a").alias("v"), F.col("p.b").alias("u")).distinct(), "state")
-    before = None
+    parents = []
     while True:
         least = scratch.write(state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("cnt")), "least")
-        told = join_unique(state, least.select("v", "m"), "v", hot_keys(least, "v"))
-        sent = told.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p"))
-        new = scratch.write(sent.select("p.v", "p.u").distinct(), "state")
-        after = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("u", "v", "v").cast("decimal(38,0)")).alias("s2")).first()
+        told = join_unique(state, least, "v", hot_keys(least, "v"))
+        # a vertex that knows one member is known by that member alone: its group is settled by it
+        settled = F.col("cnt") == 1
+        pair = lambda x, y, gone: F.struct(F.col(x).alias("v"), F.col(y).alias("u"), gone.alias("gone"))
+        sent = told.select(F.explode(F.when(settled, F.array(pair("m", "v", F.lit(True)), pair("v", "m", F.lit(True)))).otherwise(F.array(pair("m", "u", F.lit(False)), pair("u", "m", F.lit(False))))).alias("p"))
+        new = scratch.write(sent.groupBy("p.v", "p.u").agg(F.max("p.gone").alias("gone")).filter("NOT gone").select("v", "u"), "state")
+        parents.append(scratch.write(least.filter("cnt = 1").select("v", F.col("m").alias("root"), F.lit(len(parents)).alias("round")), "parents"))
         scratch.drop(state, least)
         del told, sent, least
         scratch.release()
         state = new
-        if tuple(after) == before:
+        if not state.limit(1).count():
+            break
+    label = scratch.write(reduce(DataFrame.unionByName, parents).groupBy("v").agg(F.max(F.struct("round", "root")).alias("r")).select("v", "r.root"), "label")
+    while True:  # settled in turn: the members lead to the smallest vertex in a few jumps
+        up = label.select(F.col("v").alias("root"), F.col("root").alias("top"))
+        new = scratch.write(join_unique(label, up, "root", hot_keys(label.groupBy("root").agg(F.count(F.lit(1)).alias("cnt")), "root")).select("v", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "label")
+        moved = new.filter("moved").limit(1).count()
+        scratch.drop(label)
+        scratch.release()
+        label = new.drop("moved")
+        if not moved:
             break
-        before = tuple(after)
-
-    label = state.groupBy("v").agg(F.min("u").alias("root"))
     named = scratch.write(nodes.join(label.withColumnRenamed("v", "h"), "h").select("id", "root"), "named")
     groups = scratch.write(named.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("cnt")), "groups")
     out = join_unique(named, groups.select("root", "group_id"), "root", hot_keys(groups, "root"))
