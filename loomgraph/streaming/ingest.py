@@ -9,14 +9,19 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.graph import first_by
 
 
+def _timed(mentions: DataFrame, late: str) -> DataFrame:
+    """With event time ``at`` and its watermark; a stream that has them already keeps its own."""
+    return mentions if "at" in mentions.columns else mentions.withColumn("at", F.col("seen_at").cast("timestamp")).withWatermark("at", late)
+
+
 def windowed_mentions(mentions: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, type, n) of mentions by tumbling window; rows later than the watermark are dropped."""
-    return mentions.withColumn("at", F.col("seen_at").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", window).alias("w"), "type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "type", "n")
+    return _timed(mentions, late).groupBy(F.window("at", window).alias("w"), "type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "type", "n")
 
 
 def first_mentions(mentions: DataFrame, late: str = "2 days") -> DataFrame:
-    """The stream without rows that were delivered twice within the watermark."""
-    return mentions.withColumn("at", F.col("seen_at").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["doc_id", "text", "prop_idx"]).drop("at")
+    """The stream, with event time ``at``, without rows that were delivered twice within the watermark."""
+    return _timed(mentions, late).dropDuplicatesWithinWatermark(["doc_id", "text", "prop_idx"])
 
 
 def upsert_nodes(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
