@@ -29,9 +29,11 @@ POSTED = 32
 AGREE2, AGREE4 = 15, 10
 #: A posting list up to this length is merged, a longer one is skipped and split.
 LIST = 2_048
-#: Groups of same-word copies up to this size are given as all their pairs, larger ones as
-#: representative and member.
-EXPANDED = 32
+#: None gives all pairs of a group of same-word records. On request only, groups above a size are given in short
+#: as representative and member: that leaves out pairs, also pairs of different texts.
+EXPANDED: int | None = None
+#: Members of a group that are expanded together: a large group is written by many tasks, a block pair each.
+BLOCK = 1_024
 
 
 def _design() -> list[tuple[int, int, int]]:
@@ -246,9 +248,8 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     pair that shares 8 of the 32. Candidates are checked on the whole texts.
 
     Defined cases: null texts and texts under ``least_words`` words are in no pair; repeated rows of one id
-    are one record; classes of up to 32 copies give all their pairs, larger ones a pair of the smallest id
-    and each other member, and only the smallest id in pairs with other texts; empty input, empty result;
-    other columns are ignored.
+    are one record; classes of any size give all their pairs, inside and with other classes, so the result
+    grows with the square of the copies; empty input, empty result; other columns are ignored.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -256,13 +257,12 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     # ids of different kinds may be equal; classes are known by a key of their kind and bag
     signed = scratch.write(_signed(records, _sketch(records), least_words).withColumn("cid", F.xxhash64("kind", "bag", "bag2")).drop("bag", "bag2"), "signed")
     members = scratch.write(signed.select("kind", "id", "cid").distinct(), "members")
-    first = signed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"), F.count(F.lit(1)).alias("size"))
-    classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig", "size"), "classes")
+    first = signed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"))
+    classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig"), "classes")
     scratch.drop(signed)
     scratch.release()
     near = _candidates(classes, scratch)
 
-    rep = classes.select("kind", F.col("id").alias("cid"), "rep", "size")
     end = lambda e: classes.select(F.col("id").alias(e), F.col("kind").alias(f"kind_{e}"), F.col("rep").alias(f"r{e}"), F.col("four1").alias(f"x{e}"), F.col("four2").alias(f"y{e}"))
     pairs = near.join(end("a"), "a").join(end("b"), "b").filter((F.col("kind_a") == F.col("kind_b")) & (_agreeing4("xa", "xb") + _agreeing4("ya", "yb") >= AGREE4))
     pairs = scratch.write(pairs.select(F.col("kind_a").alias("kind"), "a", "b", "ra", "rb"), "pairs")
@@ -280,10 +280,23 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     true = scratch.write(with_texts.filter(alike("ta", "tb")).select("kind", "a", "b"), "true")
     scratch.release()
 
-    listed = members.join(rep, ["kind", "cid"]).filter((F.col("size") <= EXPANDED) | (F.col("id") == F.col("rep")))
-    listed = scratch.write(listed.select("kind", "cid", "id"), "listed")
-    inside = listed.alias("x").join(listed.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cid") == F.col("y.cid")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.kind").alias("kind"), F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-    star = members.join(rep.filter(F.col("size") > EXPANDED), ["kind", "cid"]).filter("id <> rep").select("kind", F.col("rep").alias("p"), F.col("id").alias("q"))
-    across = true.join(listed.select("kind", F.col("cid").alias("a"), F.col("id").alias("p")), ["kind", "a"]).join(listed.select("kind", F.col("cid").alias("b"), F.col("id").alias("q")), ["kind", "b"]).select("kind", "p", "q")
-    out = inside.unionByName(star).unionByName(across)
-    return out.filter("p <> q").select(F.col("kind").alias("record_kind"), F.least("p", "q").alias("id_lo"), F.greatest("p", "q").alias("id_hi")).distinct()
+    sizes = members.groupBy("kind", "cid").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))
+    # a class that is alone and like no other gives no pair
+    paired = true.select("kind", F.explode(F.array("a", "b")).alias("cid")).distinct().withColumn("met", F.lit(True))
+    sizes = scratch.write(sizes.join(paired, ["kind", "cid"], "left").filter("size > 1 OR met").select("kind", "cid", "size", "rep"), "sizes")
+    listed = members.join(sizes, ["kind", "cid"])
+    star = None
+    if EXPANDED is not None:
+        star = listed.filter((F.col("size") > EXPANDED) & (F.col("id") != F.col("rep"))).select("kind", F.col("rep").alias("p"), F.col("id").alias("q"))
+        listed = listed.filter((F.col("size") <= EXPANDED) | (F.col("id") == F.col("rep")))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    blocks = scratch.write(listed.withColumn("block", block).groupBy("kind", "cid", "block").agg(F.collect_list("id").alias("ids")), "blocks")
+    x, y = (blocks.select("kind", F.col("cid").alias(c), F.col("block").alias(f"block_{c}"), F.col("ids").alias(f"ids_{c}")) for c in "ab")
+    inside = x.join(y.withColumnRenamed("b", "a"), ["kind", "a"]).filter("block_a <= block_b AND (block_a < block_b OR size(ids_a) > 1)").withColumn("b", F.col("a"))
+    across = true.join(x, ["kind", "a"]).join(y, ["kind", "b"])
+    met = inside.unionByName(across).repartition("kind", "a", "block_a", "b", "block_b")
+    out = met.select("kind", "a", "b", "block_a", "block_b", "ids_b", F.explode("ids_a").alias("p")).select("kind", "a", "b", "block_a", "block_b", "p", F.explode("ids_b").alias("q"))
+    out = out.filter("p < q OR (p > q AND NOT (a = b AND block_a = block_b))").select("kind", "p", "q")
+    if star is not None:
+        out = out.unionByName(star)
+    return out.select(F.col("kind").alias("record_kind"), F.least("p", "q").alias("id_lo"), F.greatest("p", "q").alias("id_hi")).distinct()

@@ -72,6 +72,18 @@ def test_many_copies_give_a_star(spark, monkeypatch):
     assert {tuple(r)[1:] for r in near_duplicates(df).collect()} == {(0, i) for i in range(1, 6)} | {(0, 10)}
 
 
+def test_large_groups_give_all_pairs(spark, monkeypatch):
+    w = [f"word{i}" for i in range(20)]
+    rows = [("doc", i, " ".join(rng.sample(w, len(w)))) for i in range(40)]  # one bag of words in many orders
+    rows += [("doc", 100 + i, " ".join(w[:-1]).upper() + " other") for i in range(35)]  # exact copies, near the first group
+    df = spark.createDataFrame(rows + rows[:5], "kind string, id long, text string")
+    want = brute_near(rows)
+    assert len(want) == 75 * 74 // 2
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK", 8)  # groups in several blocks
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+
+
 def test_runs_across_batches():
     frames = pd.DataFrame({"key": [1, 1, 1, 2, 3, 3], "id": [1, 2, 3, 9, 5, 6], "two": [0, 0, 0, 0, 0, 1], "step": [0] * 6})
     a, b = neardup._alike(frames["id"].to_numpy()[:3], np.zeros(3, np.int64))
