@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import knn
-from loomgraph.llm.spellings import channel, link_spellings, normal_form, one_edit
+from loomgraph.llm.spellings import asks, channel, link_spellings, normal_form, one_edit, posts
 
 
 def test_forms_and_channel():
@@ -25,6 +25,21 @@ def test_link_spellings(spark):
     assert link_spellings(spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_every_accepted_pair_meets():
+    names = ["Henrietta Mekapame", "Hettie Mekapame", "H. Mekapame", "H. Mekapme", "Hetie Mekapame", "Etta Mekapmae", "Henrietta M.", "M. Henrietta", "M. H.", "M. Hettie", "Henrietta J. Mekapame", "Henrietta", "Hetttie", "Bert Kelivaro Li", "Robert Kelivaro Li", "R. Kelivaro L.", "R Kelivro Li", "Li W", "Li Wei", "Lake Mihosanzu Museum", "Lk Mihosanzu Musem", "L. Mihosanzu Muesum", "New New York", "New N York", "A. B.", "A. B. C.", "Quint Vasa", "Quentin Vasa", "Kit Vasa", "Kitty Vasa", "Katherine Vasa", "Kitt Vassa", "Willie Vasa Orla", "William Vasa Orlla", "Wilie Vasa Orla"]
+    forms = sorted({normal_form(n) for n in names})
+    accepted = [(v, c) for v in forms for c in forms if v != c and channel(v, c) is not None]
+    assert len(accepted) > 30 and all(set(asks(v)) & set(posts(c)) for v, c in accepted)
+
+
+def test_frequent_words_link_variants(spark):
+    rng = np.random.default_rng(3)
+    others = ["".join(rng.choice(list("bcdfgk"), 9)) + " Mekapame" for _ in range(60)]  # more than 50 forms with one surname
+    rows = [(n,) for n in others] + [("Henrietta Mekapame",)] * 5 + [("H. Mekapame",), ("Hettie Mekapame",)]
+    got = {tuple(r) for r in link_spellings(spark.createDataFrame(rows, "text string")).collect()}
+    assert got == {("H. Mekapame", "Henrietta Mekapame"), ("H. Mekapame", "Hettie Mekapame"), ("Henrietta Mekapame", "Hettie Mekapame")}
+
+
 def brute(vectors, k, least):
     ids = sorted(vectors)
     m = np.array([vectors[i] for i in ids], float)
