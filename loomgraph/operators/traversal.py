@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import cosine, norm
 from ..session import Scratch
 from .graph import MENTIONS
+from .knn import knn_join
 
 
 def semantic_score(question: Column, node: Column) -> Column:
@@ -32,14 +33,16 @@ def anchor_priority(anchors: DataFrame, questions: DataFrame, gaps: DataFrame, w
 
 
 def neighbours(frontier: DataFrame, adjacency: DataFrame, active: list[str]) -> DataFrame:
-    """Candidates (.., node_id -> to): active or similar edges between propositions, and one hop over an entity."""
+    """Candidates (.., node_id -> to): active or similar edges between propositions, one hop over an entity, and
+    from a frontier node that is an entity itself to the propositions that mention it."""
     keys = [c for c in frontier.columns if c != "node_id"]
     direct = adjacency.filter(F.col("edge_type").isin([*active, "SIMILARITY"]) & (F.col("neighbour_type") == "proposition")).select("node_id", F.col("neighbour").alias("to"))
     to_entity = adjacency.filter((F.col("edge_type") == MENTIONS) & (F.col("neighbour_type") != "proposition")).select("node_id", F.col("neighbour").alias("entity"))
     from_entity = adjacency.filter((F.col("edge_type") == MENTIONS) & (F.col("neighbour_type") == "proposition")).select(F.col("node_id").alias("entity"), F.col("neighbour").alias("to"))
     one = frontier.join(direct, "node_id")
     two = frontier.join(to_entity, "node_id").join(from_entity, "entity").drop("entity")
-    return one.unionByName(two).filter("to <> node_id").select(*keys, "node_id", "to").distinct()
+    three = frontier.join(from_entity.withColumnRenamed("entity", "node_id"), "node_id")
+    return one.unionByName(two).unionByName(three).filter("to <> node_id").select(*keys, "node_id", "to").distinct()
 
 
 def new_entities(candidates: DataFrame, adjacency: DataFrame, visited: DataFrame) -> DataFrame:
@@ -134,6 +137,45 @@ def ordered_union(first: DataFrame, second: DataFrame, key: str, item: str) -> D
     return both.groupBy(key, item).agg(F.min(F.struct("source", "pos")).alias("f")).select(key, item, "f.source", "f.pos")
 
 
+def named_entities(names: DataFrame, entities: DataFrame, threshold: float = 0.7, most: int = 5) -> DataFrame:
+    """(question_id, pos, node_id): the entity node most similar to each name, of the first ``most`` names that have one.
+
+    ``names`` has question_id, pos and vec (of the name), ``entities`` node_id and vec.
+    """
+    asked = names.select(F.struct("question_id", "pos").alias("query_id"), "vec").filter(norm(F.col("vec")) > 0)
+    items = entities.filter(norm(F.col("vec")) > 0).select(F.col("node_id").alias("item_id"), "vec")
+    hit = knn_join(asked, items, 1, threshold).select("query_id.question_id", "query_id.pos", F.col("item_id").alias("node_id"))
+    rn = F.row_number().over(Window.partitionBy("question_id").orderBy("pos"))
+    return hit.withColumn("rn", rn).filter(F.col("rn") <= most).drop("rn")
+
+
+def entity_anchors(named: DataFrame, adjacency: DataFrame, vectors: DataFrame, questions: DataFrame, per_entity: int = 3, most_props: int = 50) -> DataFrame:
+    """(question_id, node_id, similarity, pos): propositions that mention the named entities, most similar first.
+
+    At most ``most_props`` propositions of an entity count, in order of their ids, and ``per_entity`` times the
+    named entities of a question come out. ``questions`` has question_id and vec.
+    """
+    of_entity = named.select("node_id").distinct().join(adjacency.filter((F.col("edge_type") == MENTIONS) & (F.col("neighbour_type") == "proposition")).select("node_id", F.col("neighbour").alias("prop")).distinct(), "node_id")
+    first = of_entity.withColumn("rn", F.row_number().over(Window.partitionBy("node_id").orderBy("prop"))).filter(F.col("rn") <= most_props).drop("rn")
+    met = named.select("question_id", "node_id").distinct().join(first, "node_id").select("question_id", F.col("prop").alias("node_id")).distinct()
+    scored = met.join(vectors.select("node_id", "vec"), "node_id").join(questions.select("question_id", F.col("vec").alias("q")), "question_id").groupBy("question_id", "node_id").agg(F.max(semantic_score(F.col("q"), F.col("vec"))).alias("similarity"))
+    limit = named.groupBy("question_id").agg((F.count(F.lit(1)) * per_entity).alias("most"))
+    rn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("similarity").desc(), "node_id"))
+    return scored.withColumn("pos", rn).join(limit, "question_id").filter(F.col("pos") <= F.col("most")).drop("most")
+
+
+def refill_from_entities(entities: DataFrame, adjacency: DataFrame, visited: DataFrame, k: int = 3) -> DataFrame:
+    """(question_id, node_id, priority): of each entity of a question the first k propositions, without the visited
+    ones; the priority is the degree. ``entities`` and ``visited`` have question_id and node_id."""
+    props = entities.select("node_id").distinct().join(adjacency.filter(F.col("neighbour_type") == "proposition").select("node_id", F.col("neighbour").alias("prop")).distinct(), "node_id")
+    first = props.withColumn("rn", F.row_number().over(Window.partitionBy("node_id").orderBy("prop"))).filter(F.col("rn") <= k)
+    new = entities.join(first, "node_id").select("question_id", F.col("prop").alias("node_id")).distinct().join(visited, ["question_id", "node_id"], "left_anti")
+    edges = adjacency.select("node_id", "neighbour").distinct()
+    ends = edges.select("node_id").unionByName(edges.select(F.col("neighbour").alias("node_id")))
+    degree = ends.join(new.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).cast("double").alias("priority"))
+    return new.join(degree, "node_id").select("question_id", "node_id", "priority")
+
+
 def exclusive(assignments: DataFrame, item: str, owner: str) -> DataFrame:
     """Every item goes to the first owner that has it."""
     return assignments.groupBy(item).agg(F.min(owner).alias(owner))

@@ -580,7 +580,10 @@ def agent_round(s: SparkSession, d: str) -> DataFrame:
 
     nodes, edges = _nodes(s, d), _edges(s, d)
     norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
-    return run_rounds(_questions(s, d), graph.adjacency(nodes, edges), _prop_vectors(s, d), norm["norm"] if norm else 1.0)
+    questions = _questions(s, d)
+    names = questions.select("question_id", F.lit(1).alias("pos"), F.col("gap").alias("vec"))  # the gap is a title, which is a name
+    entities = nodes.filter("node_type <> 'proposition'").select("node_id", hashed_words("text").alias("vec"))
+    return run_rounds(questions, graph.adjacency(nodes, edges), _prop_vectors(s, d), norm["norm"] if norm else 1.0, names=names, entities=entities)
 
 
 @query(f"""{_GRAPH}, {_ADJ}, {_QV}, {_PV}, {_SEM}, {_EXPAND},

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evaluation, knn, linking, skew, traversal
-from loomgraph.operators.agent import gap_status, run_rounds
+from loomgraph.operators.agent import fallback_answers, gap_status, retrieve_rounds, run_rounds
 
 
 def test_knn_join_exact_and_blocks(spark, monkeypatch):
@@ -80,6 +80,31 @@ def test_beam_is_a_forest(spark):
     assert out.first()["termination"] == "information_sufficient" and out.count() == 1
 
 
+def test_entity_starts_and_refill(spark):
+    adj, _ = small_graph(spark)
+    start = spark.createDataFrame([(1, "e1")], "question_id long, node_id string")
+    assert {r["to"] for r in traversal.neighbours(start, adj, ["DETAIL"]).collect()} == {"p1", "p2"}
+    seen = spark.createDataFrame([(1, "p1")], "question_id long, node_id string")
+    assert {tuple(r) for r in traversal.refill_from_entities(start, adj, seen).collect()} == {(1, "p2", 3.0)}
+
+
+def test_rounds_reach_anchors_by_name(spark):
+    near = [(f"n{i}", "d0", [1.0, 0.01 * i]) for i in range(3)]  # fill the nearest anchors and lead nowhere
+    vec = spark.createDataFrame([*near, ("p9", "d9", [0.1, 1.0])], "node_id string, doc_id string, vec array<double>")
+    adj = spark.createDataFrame([("p9", "MENTIONS_ENTITY", "e9", "entity"), ("e9", "MENTIONS_ENTITY", "p9", "proposition")], "node_id string, edge_type string, neighbour string, neighbour_type string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0])], "question_id long, vec array<double>, gap array<double>")
+    names = spark.createDataFrame([(1, 1, [0.0, 1.0]), (1, 2, [-1.0, 0.0])], "question_id long, pos int, vec array<double>")
+    entities = spark.createDataFrame([("e9", [0.1, 1.0])], "node_id string, vec array<double>")
+    without = retrieve_rounds(q, adj, vec, 1.0, rounds=1)
+    assert {r["doc_id"] for r in without.documents.collect()} == {"d0"}
+    out = retrieve_rounds(q, adj, vec, 1.0, rounds=1, enough=2, names=names, entities=entities)
+    assert {r["doc_id"] for r in out.documents.collect()} == {"d0", "d9"} and out.summary.first()["termination"] == "information_sufficient"
+    assert ["p9"] in [r["path"] for r in out.trace.collect()] and {r["n_docs"] for r in out.trace.collect()} == {2}
+    texts = spark.createDataFrame([("d0", "Zero", "z" * 300), ("d9", None, "nine")], "doc_id string, title string, text string")
+    answer = fallback_answers(out.documents, texts).first()["answer"]
+    assert "Zero: " + "z" * 200 + "..." in answer and "z" * 201 not in answer and "d9: nine..." in answer
+
+
 def test_bridge_gap_and_facts(spark):
     b = spark.createDataFrame([(0, 2.0), (1, 2.0), (9, 2.0), (3, 0.0)], "n int, norm double").select(traversal.bridge_score(F.col("n"), F.col("norm")).alias("b")).collect()
     assert [r["b"] for r in b] == [0.0, pytest.approx(0.63093, abs=1e-6), 1.0, 0.0]
