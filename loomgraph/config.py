@@ -19,6 +19,7 @@ class Settings:
     semantic_weight: float = 0.4
     bridge_weight: float = 0.3
     mmr_weight: float = 0.7
+    anchor_k: int = 10
     top_documents: int = 5
     context_documents: int = 20
     max_rounds: int = 5

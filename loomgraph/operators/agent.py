@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions.vector import norm
 from ..session import Scratch
 from . import knn, traversal
@@ -42,12 +43,12 @@ def fallback_answers(documents: DataFrame, texts: DataFrame, most: int = 3, char
     return lines.select("question_id", F.array_join("l.line", " ").alias("answer"))
 
 
-def run_rounds(questions: DataFrame, adjacency: DataFrame, vectors: DataFrame, norm_value: float, rounds: int = 2, enough: int = 5, most_docs: int = 20, names: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+def run_rounds(questions: DataFrame, adjacency: DataFrame, vectors: DataFrame, norm_value: float, rounds: int = Settings.max_rounds, enough: int = 5, most_docs: int = Settings.context_documents, names: DataFrame | None = None, entities: DataFrame | None = None, depth: int = Settings.beam_depth, k: int = Settings.anchor_k) -> DataFrame:
     """The summary of ``retrieve_rounds``: (question_id, rounds, n_docs, termination)."""
-    return retrieve_rounds(questions, adjacency, vectors, norm_value, rounds, enough, most_docs, names, entities).summary
+    return retrieve_rounds(questions, adjacency, vectors, norm_value, rounds, enough, most_docs, names, entities, depth, k).summary
 
 
-def retrieve_rounds(questions: DataFrame, adjacency: DataFrame, vectors: DataFrame, norm_value: float, rounds: int = 2, enough: int = 5, most_docs: int = 20, names: DataFrame | None = None, entities: DataFrame | None = None) -> Rounds:
+def retrieve_rounds(questions: DataFrame, adjacency: DataFrame, vectors: DataFrame, norm_value: float, rounds: int = Settings.max_rounds, enough: int = 5, most_docs: int = Settings.context_documents, names: DataFrame | None = None, entities: DataFrame | None = None, depth: int = Settings.beam_depth, k: int = Settings.anchor_k) -> Rounds:
     """Plan, retrieve, map, update until enough is known.
 
     ``questions`` has question_id, vec and gap (the vector of its one gap), ``vectors`` node_id, doc_id, vec.
@@ -69,14 +70,14 @@ def retrieve_rounds(questions: DataFrame, adjacency: DataFrame, vectors: DataFra
     items = vectors.filter(norm(F.col("vec")) > 0).select(F.col("node_id").alias("item_id"), "vec")
     for r in range(1, rounds + 1):
         asked = F.col("vec") if r == 1 else F.col("gap")
-        near = knn.knn_join(open_q.select(F.col("question_id").alias("query_id"), asked.alias("vec")), items, 3).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_id"), F.col("item_rank").alias("pos"))
+        near = knn.knn_join(open_q.select(F.col("question_id").alias("query_id"), asked.alias("vec")), items, k).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_id"), F.col("item_rank").alias("pos"))
         if named is not None:
             by_name = traversal.entity_anchors(named.join(open_q, "question_id", "left_semi"), adjacency, vectors, open_q.select("question_id", asked.alias("vec")))
             near = traversal.ordered_union(near, by_name, "question_id", "node_id")
         anchors = near.select("question_id", "node_id")
         starts = scratch.write(anchors.unionByName(leaves.join(open_q, "question_id", "left_semi")).distinct(), "starts")
         none = open_q.join(starts, "question_id", "left_anti").select("question_id", F.lit(r).alias("rounds"), F.lit("no_valid_anchors").alias("termination"))
-        tree = traversal.beam_search(starts, adjacency, vectors.select("node_id", "vec"), open_q.select("question_id", "vec"), norm_value, depth=2)
+        tree = traversal.beam_search(starts, adjacency, vectors.select("node_id", "vec"), open_q.select("question_id", "vec"), norm_value, depth=depth)
         ranked = scratch.write(traversal.top_paths(traversal.leaf_paths(tree), 10), "ranked")
         nodes = ranked.select("question_id", "path_rank", F.posexplode("path").alias("pos", "node_id")).join(vectors.select("node_id", "doc_id"), "node_id")
         found = nodes.groupBy("question_id", "doc_id").agg(F.min((r * 1_000_000 + F.col("path_rank") * 1_000 + F.col("pos")).cast("long")).alias("at"))

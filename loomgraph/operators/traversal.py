@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions.vector import cosine, norm
 from ..session import Scratch
 from .graph import MENTIONS
@@ -52,7 +53,7 @@ def new_entities(candidates: DataFrame, adjacency: DataFrame, visited: DataFrame
     return candidates.join(fresh, ["question_id", "to"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
 
 
-def beam_search(starts: DataFrame, adjacency: DataFrame, vectors: DataFrame, questions: DataFrame, norm: float, depth: int = 3, width: int = 4, active: tuple[str, ...] = ("SKELETON", "DETAIL")) -> DataFrame:
+def beam_search(starts: DataFrame, adjacency: DataFrame, vectors: DataFrame, questions: DataFrame, norm: float, depth: int = Settings.beam_depth, width: int = Settings.beam_width, active: tuple[str, ...] = ("SKELETON", "DETAIL")) -> DataFrame:
     """Forests of all questions: rows (question_id, node_id, parent, depth, score, raw_score, path).
 
     Each depth scores the candidates of the frontier with the entities visited before it, keeps the best

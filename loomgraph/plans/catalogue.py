@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..functions.vector import cosine, hashed_words
 from ..operators import evaluation, graph, knn, linking, traversal
@@ -360,7 +361,7 @@ def _prop_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
     items = _prop_vectors(s, d).select(F.col("node_id").alias("item_id"), "vec")
-    top = knn.knn_join(_questions(s, d).select(F.col("question_id").alias("query_id"), "vec"), items, 10)
+    top = knn.knn_join(_questions(s, d).select(F.col("question_id").alias("query_id"), "vec"), items, Settings.anchor_k)
     return top.select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_id"), F.col("similarity").alias("semantic"), F.col("item_rank").alias("anchor_rank"))
 
 
@@ -408,8 +409,7 @@ def new_entities(s: SparkSession, d: str) -> DataFrame:
 def _beam(s: SparkSession, d: str) -> DataFrame:
     nodes, edges = _nodes(s, d), _edges(s, d)
     norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
-    starts = _anchors(s, d).filter("anchor_rank <= 3")
-    return traversal.beam_search(starts, graph.adjacency(nodes, edges), _prop_vectors(s, d), _questions(s, d), norm["norm"] if norm else 1.0)
+    return traversal.beam_search(_anchors(s, d), graph.adjacency(nodes, edges), _prop_vectors(s, d), _questions(s, d), norm["norm"] if norm else 1.0)
 
 
 @query()
@@ -582,7 +582,8 @@ def agent_round(s: SparkSession, d: str) -> DataFrame:
     norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
     questions = _questions(s, d)
     names = questions.select("question_id", F.lit(1).alias("pos"), F.col("gap").alias("vec"))  # the gap is a title, which is a name
-    entities = nodes.filter("node_type <> 'proposition'").select("node_id", hashed_words("text").alias("vec"))
+    # nodes of one text have one vector, and the smallest node wins the tie
+    entities = nodes.filter("node_type <> 'proposition'").groupBy("text").agg(F.min("node_id").alias("node_id")).select("node_id", hashed_words("text").alias("vec"))
     return run_rounds(questions, graph.adjacency(nodes, edges), _prop_vectors(s, d), norm["norm"] if norm else 1.0, names=names, entities=entities)
 
 

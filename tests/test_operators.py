@@ -88,6 +88,17 @@ def test_entity_starts_and_refill(spark):
     assert {tuple(r) for r in traversal.refill_from_entities(start, adj, seen).collect()} == {(1, "p2", 3.0)}
 
 
+def test_defaults_are_those_of_production(spark):
+    chain = [(f"p{i}", "DETAIL", f"p{i + 1}", "proposition") for i in range(8)]
+    adj = spark.createDataFrame(chain, "node_id string, edge_type string, neighbour string, neighbour_type string")
+    vec = spark.createDataFrame([(f"p{i}", f"d{i}", [1.0, 0.1 * i]) for i in range(9)], "node_id string, doc_id string, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 1.0])], "question_id long, vec array<double>, gap array<double>")
+    tree = traversal.beam_search(spark.createDataFrame([(1, "p0")], "question_id long, node_id string"), adj, vec.select("node_id", "vec"), q, 1.0)
+    assert tree.agg(F.max("depth")).first()[0] == 6
+    out = run_rounds(q, adj.limit(0), vec.limit(4), 1.0).first()
+    assert (out["rounds"], out["n_docs"], out["termination"]) == (5, 4, "max_rounds_reached")
+
+
 def test_rounds_reach_anchors_by_name(spark):
     near = [(f"n{i}", "d0", [1.0, 0.01 * i]) for i in range(3)]  # fill the nearest anchors and lead nowhere
     vec = spark.createDataFrame([*near, ("p9", "d9", [0.1, 1.0])], "node_id string, doc_id string, vec array<double>")
@@ -95,9 +106,9 @@ def test_rounds_reach_anchors_by_name(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0])], "question_id long, vec array<double>, gap array<double>")
     names = spark.createDataFrame([(1, 1, [0.0, 1.0]), (1, 2, [-1.0, 0.0])], "question_id long, pos int, vec array<double>")
     entities = spark.createDataFrame([("e9", [0.1, 1.0])], "node_id string, vec array<double>")
-    without = retrieve_rounds(q, adj, vec, 1.0, rounds=1)
+    without = retrieve_rounds(q, adj, vec, 1.0, rounds=1, k=3)
     assert {r["doc_id"] for r in without.documents.collect()} == {"d0"}
-    out = retrieve_rounds(q, adj, vec, 1.0, rounds=1, enough=2, names=names, entities=entities)
+    out = retrieve_rounds(q, adj, vec, 1.0, rounds=1, enough=2, names=names, entities=entities, k=3)
     assert {r["doc_id"] for r in out.documents.collect()} == {"d0", "d9"} and out.summary.first()["termination"] == "information_sufficient"
     assert ["p9"] in [r["path"] for r in out.trace.collect()] and {r["n_docs"] for r in out.trace.collect()} == {2}
     texts = spark.createDataFrame([("d0", "Zero", "z" * 300), ("d9", None, "nine")], "doc_id string, title string, text string")
