@@ -244,8 +244,9 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     fixed-size sketch of word frequencies over all records. Triples of coordinates are posted to an
     inverted index under (coordinate, value). When a posting list is merged, the collisions of every pair
     are counted on a few bits of all 32 coordinates, and pairs above the match threshold are candidates.
-    Lists too long to merge are skipped and split by further coordinates in prefix order, which loses no
-    pair that shares 8 of the 32. Candidates are checked on the whole texts.
+    Lists too long to merge are skipped and split by further coordinates in prefix order; the split by itself
+    loses no pair that shares 8 of the 32, but the match thresholds drop some that share few, so the operator
+    is not exact. Candidates are checked on the whole texts.
 
     Defined cases: null texts and texts under ``least_words`` words are in no pair; repeated rows of one id
     are one record; classes of any size give all their pairs, inside and with other classes, so the result
