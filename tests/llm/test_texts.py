@@ -84,6 +84,20 @@ def test_large_groups_give_all_pairs(spark, monkeypatch):
     assert {tuple(r) for r in near_duplicates(df).collect()} == want
 
 
+def test_labelled_texts_are_judged_whole():
+    en, de = "the house was built by people who came from the north and wanted to live there ", "das haus wurde von menschen gebaut die aus dem norden kamen und dort leben wollten "
+    odd = ("de", "zebra " + en * 15 + de * 60)  # a long foreign opening
+    judged = []
+
+    class Watched(LanguageModel):
+        def best(self, words):
+            judged.append(len(words))
+            return super().best(words)
+
+    Watched([("en", en * 20), ("de", de * 20), odd])
+    assert max(judged) > 900
+
+
 def test_runs_across_batches():
     frames = pd.DataFrame({"key": [1, 1, 1, 2, 3, 3], "id": [1, 2, 3, 9, 5, 6], "two": [0, 0, 0, 0, 0, 1], "step": [0] * 6})
     a, b = neardup._alike(frames["id"].to_numpy()[:3], np.zeros(3, np.int64))

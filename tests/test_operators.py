@@ -25,6 +25,14 @@ def test_knn_join_exact_and_blocks(spark, monkeypatch):
     near = knn.lsh_join(q, v, 5, threshold=0.0).count()
     assert near > 10
 
+def test_lsh_recall_against_exact(spark):
+    m = np.random.default_rng(1).standard_normal((60, 8))
+    v = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(60)], "item_id long, vec array<double>")
+    q = v.filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    want = {(r["query_id"], r["item_id"]) for r in knn.knn_join(q, v, 5, threshold=0.3).collect()}
+    found = {(r["query_id"], r["item_id"]) for r in knn.lsh_join(q, v, 5, threshold=0.3).collect()}
+    assert want and len(found & want) >= 0.9 * len(want)
+
 
 def brute_leaders(lists):
     done, out = set(), set()
