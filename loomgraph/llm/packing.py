@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
@@ -16,22 +16,29 @@ from ..session import Scratch
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the public byte-level vocabularies split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Items of one size that are numbered in one task, on average.
+CHUNK = 50_000
 
 
-def _encoder(path: str):
-    import public_tokenizers
+def _encoder(ranks: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every text, null and empty ones with 0."""
+def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens) of every text, null and empty ones with 0.
+
+    ``tokenizer`` is the path of a rank file on the driver. The file, under a megabyte, is broadcast, so the
+    executors need no file of their own.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(encoder.encode_ordinary(t)) if t else 0 for t in batch["text"]]})
 
@@ -39,76 +46,127 @@ def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 class _Sizes:
-    """How many items of each size are left, with the sizes in order."""
+    """A multiset of sizes in order."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
+    def __init__(self, counts: Mapping[int, int]) -> None:
         self.count = {s: n for s, n in counts.items() if n > 0}
         self.order = sorted(self.count)
 
-    def take(self, size: int, n: int) -> None:
+    def take(self, size: int, n: int = 1) -> None:
         self.count[size] -= n
         if not self.count[size]:
             del self.count[size]
             self.order.pop(bisect_right(self.order, size) - 1)
 
+    def put(self, size: int, n: int = 1) -> None:
+        if size not in self.count:
+            self.count[size] = 0
+            self.order.insert(bisect_right(self.order, size), size)
+        self.count[size] += n
+
     def largest_upto(self, room: int) -> int | None:
         at = bisect_right(self.order, room)
         return self.order[at - 1] if at else None
 
+    def smallest(self, k: int, above: int = 0) -> list[int]:
+        """The ``k`` smallest items larger than ``above``, repeated as often as they are there."""
+        out: list[int] = []
+        for s in self.order[bisect_right(self.order, above) :]:
+            out += [s] * min(k - len(out), self.count[s])
+            if len(out) == k:
+                break
+        return out
+
+    def best_pair(self, room: int) -> tuple[int, int] | None:
+        """The two items of largest sum that fit together, the larger first."""
+        best, low = None, 0
+        high = bisect_right(self.order, room) - 1
+        while high >= low >= 0 and high >= 0:
+            a, b = self.order[high], self.order[low]
+            if a + b > room:
+                high -= 1
+                continue
+            if (a != b or self.count[a] > 1) and (best is None or a + b > sum(best)):
+                best = (a, b)
+            low += 1
+        return best
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (sizes in one bin, number of such bins) that hold ``counts`` items of each size.
 
-    First dominance reduction: for the largest size j in turn, a set of at most three items with j that
-    dominates every other feasible set of j is fixed for good. That is j alone if nothing fits beside it;
-    j with the largest i that fits, if i fills the bin exactly, or if no two items fit beside j, or if i is
-    at least as large as the best two that fit together. Fixing a bin shrinks the instance and the next
-    largest size is looked at. What no rule decides is packed by best fit in decreasing order: every item
-    goes to the fullest open bin that takes it. All steps work on multiplicities, so the work depends on the
-    number of different sizes (at most ``capacity``), not on the number of items.
+def dominating_set(j: int, others: _Sizes, capacity: int) -> tuple[int, ...] | None:
+    """The items beside ``j`` in a set that dominates every other feasible set of ``j``, or None if none is proven.
+
+    ``others`` are all items not yet fixed but one of size ``j``, larger and smaller ones. A set dominates another
+    one of j if the items of the other can be grouped so that each group is no larger than an item of the set of
+    its own: exchanging them never needs a further bin. Sets of at most three items are looked at:
+
+    * j alone, if nothing fits beside it;
+    * j with i, the largest that fits, if i fills the bin, if no two items fit beside j, or if no three fit and no
+      two that fit together are larger than i;
+    * j with a and b, the two of largest sum that fit, if no three fit, a is as large as i, and no two items
+      that fit are both larger than b (but for a itself).
+    """
+    room = capacity - j
+    i = others.largest_upto(room)
+    if i is None:
+        return ()
+    least = others.smallest(3)
+    if i == room or sum(least[:2]) > room or len(least) < 2:
+        return (i,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    pair = others.best_pair(room)
+    if pair is None or i >= sum(pair):
+        return (i,)
+    a, b = pair
+    if a != i:
+        return None
+    others.take(a)
+    two = others.smallest(2, above=b)
+    others.put(a)
+    return (a, b) if len(two) < 2 or sum(two) > room else None
+
+
+def reduce_bins(counts: Mapping[int, int], capacity: int = CAPACITY) -> tuple[Counter[tuple[int, ...]], dict[int, int]]:
+    """Bins fixed by dominance, and how many items of each size are left undecided.
+
+    Sizes are looked at from the largest to the smallest, again and again until a pass fixes nothing. Undecided
+    items stay in view of all others, so a fixed set dominates over all items that are left, and the fixed
+    bins with the best packing of the rest are a best packing of all. A set that was fixed stays dominating while
+    its sizes last (what is left only shrinks), so it is fixed as often as they do: the work depends on the number of different
+    sizes, at most ``capacity``, not on the number of items.
     """
     left = _Sizes({s: n for s, n in counts.items() if 0 < s <= capacity})
     fixed: Counter[tuple[int, ...]] = Counter()
-    undecided: Counter[int] = Counter()
-    while left.order:
-        j = left.order[-1]
-        n = left.count[j]
-        room = capacity - j
-        i = left.largest_upto(room)
-        if i == j and n == 1:  # the item itself is the only one of its size
-            at = bisect_right(left.order, room)
-            i = left.order[at - 2] if at > 1 else None
-        if i is None:
-            fixed[(j,)] += n
-            left.take(j, n)
-            continue
-        smallest = left.order[0]
-        # the two smallest others; the item in hand does not count as one of them
-        two = 2 * smallest if left.count[smallest] - (smallest == j) >= 2 else smallest + (left.order[1] if len(left.order) > 1 else capacity)
-        best_two = 0
-        if two <= room and i != room:
-            # largest sum of two sizes that fit; at least as large as i it refutes dominance
-            for a in reversed(left.order[: bisect_right(left.order, room)]):
-                if 2 * a <= best_two or 2 * a < i:
-                    break
-                b = left.largest_upto(min(a, room - a))
-                if b == a and left.count[a] - (a == j) < 2:
-                    at = bisect_right(left.order, min(a, room - a))
-                    b = left.order[at - 2] if at > 1 else None
-                if b is not None and left.count[a] - (a == j) >= 1:
-                    best_two = max(best_two, a + b)
-                if best_two > i:
+    moved = True
+    while moved:
+        moved = False
+        for j in reversed(list(left.order)):
+            while j in left.count:
+                left.take(j)
+                beside = dominating_set(j, left, capacity)
+                left.put(j)
+                if beside is None:
                     break
-        if i == room or two > room or i >= best_two:
-            bins = min(n, left.count[i]) if i != j else n // 2
-            fixed[(j, i)] += bins
-            left.take(j, bins)
-            left.take(i, bins)
-        else:
-            undecided[j] += n
-            left.take(j, n)
-            # later items may still be fixed among themselves; they no longer see j
-    return [*fixed.items(), *_best_fit(undecided, capacity)]
+                need = Counter((j, *beside))
+                bins = min(left.count[s] // n for s, n in need.items())
+                fixed[(j, *beside)] += bins
+                for s, n in need.items():
+                    left.take(s, n * bins)
+                moved = True
+    return fixed, dict(left.count)
+
+
+def plan_bins(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (sizes in one bin, number of such bins) that hold ``counts`` items of each size.
+
+    Dominance reduction first, then best fit in decreasing order for the undecided rest. The reduction never
+    raises the least possible number of bins, but best fit is a rule of thumb and may do worse on the smaller
+    instance; where it does, the plan of best fit for all items is taken, so a plan has never more bins than that.
+    """
+    fixed, rest = reduce_bins(counts, capacity)
+    plan = [*fixed.items(), *_best_fit(Counter(rest), capacity)]
+    plain = _best_fit(Counter({s: n for s, n in counts.items() if 0 < s <= capacity and n > 0}), capacity)
+    return plan if sum(n for _, n in plan) <= sum(n for _, n in plain) else plain
 
 
 def _best_fit(counts: Counter[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -167,18 +225,20 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     chunks, so that a size with a third of all items is numbered by many tasks, and the number picks the bin.
 
     Defined cases: texts of no tokens, null sizes and null ids get no context; a repeated row (same id and
-    size) counts once; equal sizes are taken in the order of doc_id; empty input, empty result; other
-    columns are ignored.
+    size) counts once; equal sizes are taken in the order of a hash of doc_id, then of doc_id; empty input,
+    empty result; other columns are ignored.
     """
     spark = sizes.sparkSession
     scratch = Scratch(spark, "packing")
     whole = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens")).filter("doc_id IS NOT NULL AND n_tokens > 0").distinct()
     parts = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {capacity}"))))
     items = parts.select("doc_id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("part") * capacity).cast("int").alias("size"))
-    items = items.withColumn("chunk", F.expr("doc_id div 4096"))
     items = scratch.write(items, "items")
 
-    by_chunk = items.groupBy("size", "chunk").count()
+    # chunks by a hash, so ids may be dense or sparse; their number grows with the items
+    chunks = max(1, -(-items.count() // CHUNK))
+    items = items.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "part"), F.lit(chunks)))
+    by_chunk = scratch.write(items.groupBy("size", "chunk").count(), "chunks")
     histogram = {r["size"]: r["n"] for r in by_chunk.groupBy("size").agg(F.sum("count").alias("n")).collect()}
     plan = plan_bins(histogram, capacity)
     # one row for each run of items of one size that go to bins of one pattern and place

@@ -163,6 +163,52 @@ def test_plan_bins(seed):
     assert got == counts and bins <= 1.25 * -(-sum(s * n for s, n in counts.items()) // cap) + 1
 
 
+def fewest(sizes, cap):
+    """The least possible number of bins, by trying every choice."""
+    sizes = tuple(sorted(sizes, reverse=True))
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(k + 1, (*rest, room - sizes[k]))
+        place(k + 1, (*rooms, cap - sizes[k]))
+
+    place(0, ())
+    return best
+
+
+def test_reduction_keeps_the_optimum():
+    r, shrunk, triples = random.Random(5), 0, 0
+    for _ in range(5000):
+        cap = r.choice([10, 20, 30, 60])
+        low = r.choice([1, 1, cap // 6, cap // 4])
+        sizes = [r.randint(low, cap) if r.random() < 0.5 else r.randint(low, max(low, cap // 2)) for _ in range(r.randint(3, 8))]
+        fixed, rest = packing.reduce_bins(Counter(sizes), cap)
+        n = sum(fixed.values())
+        assert n + fewest(Counter(rest).elements(), cap) == fewest(sizes, cap), (cap, sizes)
+        shrunk += n > 0
+        triples += any(len(p) == 3 for p in fixed)
+        assert sum((Counter({s: p.count(s) * k for s in set(p)}) for p, k in fixed.items()), Counter(rest)) == Counter(sizes)
+    assert shrunk > 3000 and triples > 100
+    assert packing.reduce_bins({15: 1, 7: 1, 4: 1, 1: 1, 21: 1, 26: 1}, 30)[0][(26, 4)] == 1
+
+
+def test_plan_is_never_worse_than_best_fit():
+    r = random.Random(6)
+    for _ in range(300):
+        counts = Counter(r.randint(1, 100) for _ in range(r.randint(8, 200)))
+        assert sum(n for _, n in packing.plan_bins(counts, 100)) <= sum(n for _, n in packing._best_fit(Counter(counts), 100))
+
+
 def test_pack(spark):
     sizes = [(i, rng.choice([1, 5, 700, 1024, 1500, 2048, 5000])) for i in range(500)] + [(900, 0), (901, None), (None, 5), (902, 2048 * 3), (0, None)]
     df = spark.createDataFrame([*sizes, sizes[0]], "doc_id long, n_tokens long")
