@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from loomgraph.llm import neardup, packing
-from loomgraph.llm.defects import LanguageModel, bare, defect_of
+from loomgraph.llm.defects import LanguageModel, bare, defect_of, defective_pairs, judge, whole_share
 from loomgraph.llm.endings import cut_at_end
 from loomgraph.llm.leakage import RADIUS, WINDOW, ItemIndex, fingerprints, leak_report, leaked_items
 from loomgraph.llm.neardup import common_share, near_duplicates
@@ -293,5 +293,36 @@ def test_defects(model, question, answer, defect):
     assert defect_of(question, answer, model) == defect
 
 
+@pytest.mark.parametrize("answer", ["She left because she was unable to find work.", "The council decided that it could not provide the funds.", "He could not give a date for the opening of the mill.", "They do not know each other, he wrote.", "The mill does not contain any wood."])
+def test_stories_of_inability_are_no_refusals(model, answer):
+    assert defect_of("Who built the old house of the town?", answer, model) is None
+
+
+def test_end_of_text_likelihood_decides(model):
+    done, cut = judge("Who built it?", "It was built after the war", model), judge("Who built it?", "It was built by the man and th", model)
+    assert done[0] == cut[0] == "truncated/" and done[1] < 0 < cut[1]
+    assert defect_of("Who built it?", "It was built after the war", model) is None and defect_of("Who built it?", "It was built by the man and th", model) == "truncated"
+    # where nearly no sentence without a full stop is whole, none is taken for whole
+    assert defect_of("Who built it?", "It was built after the war", model, share=0.001) == "truncated"
+    assert whole_share([(-3.0, 90), (3.0, 10)]) > 0.8 and whole_share([(3.0, 90), (0.0, 10)]) < 0.1 and whole_share([]) == 0.5
+
+
+def test_prompts_are_in_labelled_languages():
+    m = LanguageModel([(k, (v + ". ") * 8) for k, v in SENTENCES.items()], ["¿En qué ciudad nació Ann Lee?", "¿En qué ciudad nació Bo Day?"])
+    p = m.asked("¿En qué ciudad nació Cy Fox?")
+    assert set(p) == set(SENTENCES) and p["es"] > 0.99 and m.asked("") != {} and LanguageModel([]).asked("Who?") == {}
+
+
+def test_defective_pairs(spark):
+    docs = spark.createDataFrame([(i * 4 + j, k.upper(), (v + ". ") * 3) for j, (k, v) in enumerate(SENTENCES.items()) for i in range(4)] + [(99, None, None)], "doc_id long, lang string, text string")
+    asked = [(1, "Who built the old house of the town?", "Ann Lee"), (2, "Wer hat das alte Haus der Stadt gebaut?", None), (3, None, "N/A"), (None, "Who?", "")]
+    q = spark.createDataFrame([*asked, asked[0]], "question_id long, question string, answer string")
+    given = [(1, 1, "It was built by the son of the old man."), (2, 1, "Das Haus wurde von seinem Sohn gebaut, der aus der Stadt kam."), (3, 2, "Das Haus wurde von seinem Sohn gebaut, der aus der Stadt kam."), (4, 1, None), (5, 9, "I cannot answer this."), (6, None, "It was the son who..."), (7, 1, "who built the old house of the town"), (None, 1, ""), (8, 1, "word " * 50_000 + ".")]
+    a = spark.createDataFrame([(*r, "x") for r in [*given, given[1]]], "answer_id long, question_id long, answer string, defect string")
+    got = {tuple(r) for r in defective_pairs(a, q, docs).collect()}
+    assert got == {("result", 2, "language"), ("result", 4, "empty"), ("result", 5, "refusal"), ("result", 6, "truncated"), ("result", 7, "copy"), ("gold", 2, "empty"), ("gold", 3, "empty")}
+    assert {r["defect"] for r in defective_pairs(a, q, docs.limit(0)).collect()} >= {"empty", "refusal", "copy"} and defective_pairs(a.limit(0), q.limit(0), docs).count() == 0
+
+
 def test_bare():
     assert bare('{"answer": "X"}') == "X" and bare("**Answer: X**") == "X" and bare("<p></p>") == "" and bare("[]") == ""
