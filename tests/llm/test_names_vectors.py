@@ -59,10 +59,9 @@ def test_similar_pairs(spark, monkeypatch, small):
     vectors = {f"n{i:04d}": [float(np.float32(x)) for x in centres[i % 40] + 0.25 * rng.standard_normal(16)] for i in range(800)}
     for i in range(20):
         vectors[f"same{i:02d}"] = vectors["n0001"]
-    if small:  # many shards, ascents that stop early, and vectors left to exact search
-        monkeypatch.setattr(knn, "SHARD", 64)
-        monkeypatch.setattr(knn, "SHARD_MOST", 128)
-        monkeypatch.setattr(knn, "ENOUGH", 900)
+    if small:  # many shards in each division
+        monkeypatch.setattr(knn, "SHARD", 128)
+        monkeypatch.setattr(knn, "SAMPLE", 300)
     ids = list(vectors)
     rows = [(ids[i : i + 50], [vectors[x] for x in ids[i : i + 50]]) for i in range(0, len(ids), 50)]
     rows += [(["bad0", "bad1", "bad2", "bad3", None], [None, [0.0] * 16, [1.0] * 15, [float("nan")] * 16, [1.0] * 16]), rows[0], (None, None), ([], [])]
@@ -70,3 +69,41 @@ def test_similar_pairs(spark, monkeypatch, small):
     got, want = {tuple(r) for r in knn.similar_pairs(df, dim=16).collect()}, brute(vectors, 5, 0.8)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert knn.similar_pairs(df.limit(0), dim=16).count() == 0
+
+
+def test_forest_recall_with_one_percent_of_candidates():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((1500, 32))
+    m = centres[rng.integers(0, 1500, 12_000)] + 0.3 * rng.standard_normal((12_000, 32))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    sims = m @ m.T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1)[:, :5]
+    want = {(i, int(j)) for i in range(12_000) for j in top[i] if sims[i, j] >= 0.8}
+    got, total = set(), 0
+    for division in range(4):  # as a vector is met in the shards of several divisions
+        a, b, met = knn.forest_neighbours(m, division, enough=20)
+        got |= set(zip(a.tolist(), b.tolist(), strict=True))
+        total += met.mean()
+        assert met.min() >= 20 and np.bincount(a).max() <= knn.KEEP * knn.TREES
+    assert total <= 0.01 * len(m) and len(want & got) >= 0.9 * len(want)
+
+
+def test_divisions_are_even_and_grow_with_the_bits():
+    rng = np.random.default_rng(10)
+    m = rng.standard_normal((4000, 16)) + 3.0  # far from the origin, so plain signs would be one-sided
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    d = knn.Divisions(m[:1500], 3, 4, 16)
+    for k in range(3):
+        n = np.bincount(d.of(m, k), minlength=16)
+        assert n.min() > 100 and n.max() < 500
+    assert knn.division_count(0) == knn.division_count(3) == knn.DIVISIONS < knn.division_count(10) < knn.division_count(16) < 80
+
+
+def test_near_equal_vectors_and_ties(spark):
+    base = [1.0] + [0.0] * 15
+    rows = [[f"v{i:02d}" for i in range(40)], [[1.0, 1e-7 * (i // 2)] + base[2:] for i in range(40)]]
+    df = spark.createDataFrame([tuple(rows)], "node_ids array<string>, embeddings array<array<double>>")
+    vectors = dict(zip(*rows, strict=True))
+    got = {tuple(r) for r in knn.similar_pairs(df, dim=16).collect()}
+    assert all(knn.np.round(np.dot(vectors[a], vectors[b]), 6) >= 0.8 for a, b in got) and len({x for p in got for x in p}) == 40
