@@ -96,7 +96,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # Fixed values shared by the SQL: texts that name nothing.
 _NO_NAME = "'', '-', '--', '?', '??', '...', '…', 'n/a', 'na', 'nan', 'nil', 'none', 'null', 'tbd', 'tba', 'todo', 'unknown', 'not given', 'not available', 'not specified', 'unspecified', 'undefined', 'missing', 'empty', 'placeholder', 'xxx'"
 
+# Every run of twelve words of the items, met in the documents.
+_LEAKS = r"""
+    item AS (SELECT question_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w
+             FROM (SELECT question_id, unnest([passage, question]) AS t FROM test_questions) WHERE question_id IS NOT NULL AND t IS NOT NULL),
+    i12 AS (SELECT DISTINCT question_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT question_id, w, unnest(range(1, len(w) - 10)) AS i FROM item)),
+    doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    d12 AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM doc)),
+    leak AS (SELECT DISTINCT doc_id, question_id FROM d12 JOIN i12 USING (run))
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, question_id FROM leak",
+    "p9_report": f"WITH {_LEAKS} SELECT question_id, count(*) AS n_docs FROM leak GROUP BY question_id",
     "p1_found": """
         WITH RECURSIVE members AS (SELECT list_filter(original_ids, lambda x: x IS NOT NULL) AS ids FROM fused_entities),
         e AS (

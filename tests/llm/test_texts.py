@@ -145,10 +145,25 @@ def test_leaks_against_brute_force(spark):
             want |= {(i, x) for j in range(len(w) - 11) for x in grams.get(tuple(w[j : j + 12]), ())}
     found = leaked_items(d, q)
     assert {tuple(r) for r in found.collect()} == want and len(want) > 3
+    assert {tuple(r) for r in leaked_items(d, q, windows=10).collect()} == want  # more items than an index holds
     assert leak_report(found, q).count() == len({x for _, x in want})
+    assert leaked_items(d.limit(0), q, windows=10).count() == 0
     assert leaked_items(d, q.limit(0)).count() == 0 == leaked_items(d.limit(0), q).count()
 
 
+@pytest.mark.parametrize("windows", [1_000, 5])
+def test_edited_passages_leak_below_full_similarity(spark, windows):
+    item = text(24)
+    changed = item.split()
+    for i in (3, 14):  # no 12 words in a row are left
+        changed[i] = "changed"
+    d = spark.createDataFrame([(1, text(30) + " " + " ".join(changed) + " " + text(30)), (2, text(200)), (3, item)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, [item])], "question_id long, texts array<string>")
+    changed[8] = "also"
+    assert {tuple(r) for r in leaked_items(d, q, windows=windows).collect()} == {(3, 7)}
+    assert {tuple(r) for r in leaked_items(d, q, least=0.9, width=1, radius=12, windows=windows).collect()} == {(1, 7), (3, 7)}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_plan_bins(seed):
     r = random.Random(seed)
