@@ -125,7 +125,7 @@ def forest_neighbours(m: np.ndarray, seed: int, enough: int = ENOUGH, trees: int
 
     Each tree is a sorted array of hash strings, bits of sides of hyperplanes through the mean of the rows. Every
     row descends to its longest prefix; then all trees leave the deepest level together, level by level, until the
-    row has met ``enough`` candidates (or all there are), which are compared.
+    row has met ``enough`` candidates (or all there are), which are compared in single precision.
     """
     k, dim = m.shape
     centred = (m - m.mean(axis=0)).astype(np.float32)
@@ -167,7 +167,8 @@ def forest_neighbours(m: np.ndarray, seed: int, enough: int = ENOUGH, trees: int
                             if len(ask):
                                 sims = near[rows[ask]] @ near[rows].T
                                 sims[np.arange(len(ask)), ask] = -2
-                                out.append((np.repeat(rows[ask], min(KEEP, len(rows))), rows[_top(sims)].ravel()))
+                                top = _top(sims)
+                                out.append((np.repeat(rows[ask], top.shape[1]), rows[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel()))
                         continue
                     inside = np.arange(w) < s[:, None]
                     place = np.where(inside, c[:, None] + np.arange(w), c[:, None])
@@ -177,14 +178,25 @@ def forest_neighbours(m: np.ndarray, seed: int, enough: int = ENOUGH, trees: int
                     sims = np.where(inside[:, None, :], sims, np.float32(-2))
                     sims[:, np.arange(w), np.arange(w)] = -2
                     top = _top(sims)
-                    good = (inside & (mine[place] == depth))[:, :, None] & (np.take_along_axis(sims, top, axis=2) > -2)
+                    value = np.take_along_axis(sims, top, axis=2)
+                    good = (inside & (mine[place] == depth))[:, :, None] & (value > -2)
                     other = np.take_along_axis(np.broadcast_to(rows[:, None, :], sims.shape), top, axis=2)
-                    out.append((np.broadcast_to(rows[:, :, None], top.shape)[good], other[good]))
+                    out.append((np.broadcast_to(rows[:, :, None], top.shape)[good], other[good], value[good]))
+    count = met[depth_of, np.arange(k)]
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), met[depth_of, np.arange(k)]
-    pairs = np.concatenate([a * k + b for a, b in out])
-    pairs = np.unique(pairs[pairs // k != pairs % k])
-    return pairs // k, pairs % k, met[depth_of, np.arange(k)]
+        return np.empty(0, np.int64), np.empty(0, np.int64), count
+    a, b, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+    # one number holds row, other row and distance, so plain sorts drop repeated pairs and rank the rest
+    wide = max(1, int(k - 1).bit_length())
+    fine = min(30, 62 - 2 * wide)
+    far = np.clip((1.0 - sim.astype(np.float64)) / 2, 0, 1) * ((1 << fine) - 1)
+    pairs = np.sort((a << (wide + fine)) | (b << fine) | far.astype(np.int64))
+    pairs = pairs[np.append(True, (pairs[1:] >> fine) != (pairs[:-1] >> fine))]
+    a, b, far = pairs >> (wide + fine), (pairs >> fine) & ((1 << wide) - 1), pairs & ((1 << fine) - 1)
+    ranked = np.sort((a << (wide + fine)) | (far << wide) | b)
+    a, b = ranked >> (wide + fine), ranked & ((1 << wide) - 1)
+    best = np.arange(len(a)) - np.searchsorted(a, a, "left") < KEEP
+    return a[best], b[best], count
 
 
 def similar_classes(classes: DataFrame, dim: int, least: float = -1.0, enough: int = ENOUGH) -> DataFrame:
@@ -206,12 +218,8 @@ def similar_classes(classes: DataFrame, dim: int, least: float = -1.0, enough: i
         cid = pdf["cid"].to_numpy()
         m = _unit(np.frombuffer(b"".join(pdf["vec"]), number).reshape(-1, dim))
         a, b, _ = forest_neighbours(m, int(pdf["division"].iloc[0]) * 1_000_003 + int(pdf["shard"].iloc[0]) % 1_000_003, enough)
-        sim = np.concatenate([np.einsum("ij,ij->i", m[a[i : i + 100_000]], m[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]) if len(a) else np.empty(0)
-        # the best of all trees of the shard
-        order = np.lexsort((-sim, a))
-        a, b, sim = a[order], b[order], sim[order]
-        first = np.searchsorted(a, a, "left")
-        kept = (np.arange(len(a)) - first < KEEP) & (np.round(sim, 6) >= least)
+        sim = np.einsum("ij,ij->i", m[a], m[b])
+        kept = np.round(sim, 6) >= least
         return pd.DataFrame({"cid": cid[a[kept]], "other": cid[b[kept]], "sim": sim[kept]})
 
     rows = classes.select("cid", "vec").mapInPandas(place, "division int, shard long, cid long, vec binary")

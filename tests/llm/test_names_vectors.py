@@ -85,7 +85,7 @@ def test_forest_recall_with_one_percent_of_candidates():
         a, b, met = knn.forest_neighbours(m, division, enough=20)
         got |= set(zip(a.tolist(), b.tolist(), strict=True))
         total += met.mean()
-        assert met.min() >= 20 and np.bincount(a).max() <= knn.KEEP * knn.TREES
+        assert met.min() >= 20 and np.bincount(a).max() <= knn.KEEP
     assert total <= 0.01 * len(m) and len(want & got) >= 0.9 * len(want)
 
 
