@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .words import WordKeys, chunks, mix, words
+from .words import chunks, mix, word_keys, words
 
 #: Words of a window, the unit an item is cut into.
 WINDOW = 12
@@ -60,10 +60,9 @@ class ItemIndex:
     """Windows of a bounded number of items: word keys, fingerprints, and per block the windows by value."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, radius: int = RADIUS) -> None:
-        keys = WordKeys()
         self.window, self.radius = window, radius
-        seqs = [(q, keys.of(words(t))) for q, t in items]
-        seqs = [(q, k) for q, k in seqs if len(k) >= window]
+        lengths, keys = word_keys([t for _, t in items])
+        seqs = [(q, k) for (q, _), k in zip(items, np.split(keys, np.cumsum(lengths)[:-1]), strict=True) if len(k) >= window] if items else []
         rows = [_windows(k, window) for _, k in seqs]
         owner = [np.full(len(r), q, np.int64) for (q, _), r in zip(seqs, rows, strict=True)]
         self.words = np.concatenate(rows) if rows else np.empty((0, window), np.uint64)
@@ -121,7 +120,6 @@ def _block_rows(texts: DataFrame, owner: str, window: int, radius: int, bitmaps:
     block's value occurs in the bitmaps where these are given."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = WordKeys()
         masks = None
         if bitmaps is not None:
             masks = [np.zeros(1 << MASK, bool) for _ in range(radius + 1)]
@@ -130,7 +128,7 @@ def _block_rows(texts: DataFrame, owner: str, window: int, radius: int, bitmaps:
                 masks[b][bucket * len(part) : (bucket + 1) * len(part)] = part
         for batch in batches:
             ids = batch[owner].to_numpy()
-            for rows, lengths, k in chunks(batch["text"], keys):
+            for rows, lengths, k in chunks(batch["text"]):
                 row, start = _whole_windows(rows, lengths, window)
                 if not len(start):
                     continue
@@ -197,11 +195,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 1.0, wid
     shared = spark.sparkContext.broadcast(ItemIndex([(r["question_id"], r["text"]) for r in queries.collect()], window, radius))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, keys = shared.value, WordKeys()
+        ix = shared.value
         masks = ix.masks()
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            for rows, lengths, k in chunks(batch["text"], keys):
+            for rows, lengths, k in chunks(batch["text"]):
                 row, start = _whole_windows(rows, lengths, window)
                 if not len(start) or not len(ix.owner):
                     continue

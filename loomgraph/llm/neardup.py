@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .words import WordKeys, chunks, mix, words
+from .words import chunks, mix, words
 
 #: Buckets of the document-frequency sketch: its size is fixed, whatever the vocabulary.
 SKETCH = 1 << 18
@@ -29,6 +29,8 @@ POSTED = 32
 AGREE2, AGREE4 = 15, 10
 #: A posting list up to this length is merged, a longer one is skipped and split.
 LIST = 2_048
+#: Postings of a task, and those from which a list is split before the exchange.
+ROWS, HOT = 1_000_000, 100_000
 #: None gives all pairs of a group of same-word records. On request only, groups above a size are given in short
 #: as representative and member: that leaves out pairs, also pairs of different texts.
 EXPANDED: int | None = None
@@ -52,12 +54,15 @@ def _sketch(records: DataFrame) -> tuple[np.ndarray, float]:
     """In how many records each bucket of words occurs, and in how many a common word does (8 at least), over all records."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, keys, seen = np.zeros(SKETCH, np.int64), WordKeys(), 0
+        total, seen = np.zeros(SKETCH, np.int64), 0
         for batch in batches:
             seen += len(batch)
-            for text in batch["text"]:
-                k = keys.of(list(set(words(text))))
-                np.add.at(total, (k % np.uint64(SKETCH)).astype(np.int64), 1)
+            for _, lengths, k in chunks(batch["text"]):
+                row = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+                # each word of a text counts once: texts and buckets in one number, sorted
+                met = np.sort((row << np.uint64(18)) | (k % np.uint64(SKETCH)))
+                met = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+                total += np.bincount((met % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": [*at, -1], "n": [*total[at], seen]})
 
@@ -67,8 +72,9 @@ def _sketch(records: DataFrame) -> tuple[np.ndarray, float]:
     return sketch[:-1], max(8.0, sketch[-1] * COMMON)
 
 
-def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text of a chunk: two keys of its bag of words, and its signature."""
+def _elements(lengths: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a chunk, in any order within it: its words, and keys of a word with which of its
+    occurrences it is, so that the common words of two texts, counted with repetition, are their common elements."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     order = np.lexsort((k, row))
     k, row = k[order], row[order]
@@ -76,8 +82,13 @@ def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray, common:
     first[1:] = (k[1:] != k[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(first)
     nth = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
+    return row, k, mix(k + mix(nth.astype(np.uint64), 1), 2)
+
+
+def _signatures(lengths: np.ndarray, k: np.ndarray, sketch: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a chunk: two keys of its bag of words, and its signature."""
+    row, k, element = _elements(lengths, k)
     share = sketch[(k % np.uint64(SKETCH)).astype(np.int64)]
-    element = mix(k + mix(nth.astype(np.uint64), 1), 2)  # a word and which of its occurrences it is
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     with np.errstate(over="ignore"):
         bag1, bag2 = np.add.reduceat(mix(element, 3), begin), np.add.reduceat(mix(element, 4), begin)
@@ -111,9 +122,8 @@ def _signed(records: DataFrame, sketch: tuple[np.ndarray, float], least_words: i
     shared = records.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = WordKeys()
         for batch in batches:
-            for rows, lengths, k in chunks(batch["text"], keys):
+            for rows, lengths, k in chunks(batch["text"]):
                 long = lengths >= least_words
                 if not long.any():
                     continue
@@ -136,9 +146,29 @@ def _alike(ids: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs_of_runs(postings: DataFrame) -> DataFrame:
-    """Postings (key, id, two, step) sorted by key: pairs (a, b) of lists up to LIST with step -1, and rows
-    (a, two as b, key, step) of longer lists."""
+def _hot_lists(postings: DataFrame, rows: int) -> list[int]:
+    """Keys of lists with more than about HOT postings, told from a bounded sample; HOT grows with the rows beyond
+    some 10^9, so there are never more than a few thousand. A list that is missed is merged by one task, without loss."""
+    least = max(HOT, rows // 4_000)
+    share = min(1.0, 4_000_000 / max(1, rows))
+    if rows < least:
+        return []
+    sample = postings.select("key", "id").filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < max(1, round(share * (1 << 20))))
+    return [r["key"] for r in sample.groupBy("key").count().filter(F.col("count") > least * share).select("key").collect()]
+
+
+def _pairs_of_runs(postings: DataFrame, rows: int) -> DataFrame:
+    """Postings (key, id, two, step), ``rows`` of them: pairs (a, b) of lists up to LIST with step -1, and rows
+    (a, two as b, key, step) of longer lists.
+
+    Lists are merged from rows sorted by key, in as many tasks as the rows need. A hot list is known before and stays out of the exchange.
+    """
+    hot = _hot_lists(postings, rows)
+    long = None
+    if hot:
+        at = F.broadcast(postings.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
+        long = postings.join(at, "key", "left_semi").select(F.col("id").alias("a"), F.col("two").alias("b"), "key", "step")
+        postings = postings.join(at, "key", "left_anti")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
@@ -188,14 +218,16 @@ def _pairs_of_runs(postings: DataFrame) -> DataFrame:
             else:
                 yield pairs(*([x] for x in _alike(ids, two)))
 
-    return postings.repartition("key").sortWithinPartitions("key", "id").mapInPandas(merge, "a long, b long, key long, step int")
+    parts = max(1, -(-rows // ROWS))
+    merged = postings.repartition(parts, "key").sortWithinPartitions("key", "id").mapInPandas(merge, "a long, b long, key long, step int")
+    return merged if long is None else merged.unionByName(long)
 
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of class ids whose signatures share enough coordinates."""
     posted = F.array(*[F.xxhash64(F.lit(n), "kind", *[F.element_at("sig", c + 1) for c in t]) for n, t in enumerate(TRIPLES)])
     lists = classes.select(F.explode(posted).alias("key"), "id", "two", F.lit(0).alias("step"))
-    merged = scratch.write(_pairs_of_runs(lists), "merged")
+    merged = scratch.write(_pairs_of_runs(lists, classes.count() * POSTED), "merged")
     scratch.release()
     found = [merged.filter("step < 0").select("a", "b")]
     # A list too long to merge is split by a further coordinate. Two records that share SHARED of the BASE
@@ -204,13 +236,14 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     level = 0
     while level < SHARED:
         longs = merged.filter("step >= 0").select(F.col("a").alias("id"), F.col("b").alias("two"), "key", "step")
-        if not longs.limit(1).count():
+        open_rows = longs.count()
+        if not open_rows:
             break
         level += 1
         after = longs.join(classes.select("id", "sig"), "id")
         parts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(BASE - SHARED + level)), lambda c: F.struct(F.xxhash64("key", c, F.element_at("sig", c)).alias("key"), c.cast("int").alias("step"), (c > F.col("step")).alias("ok"))), lambda x: x["ok"])
         split = after.select("id", "two", F.explode(parts).alias("p")).select(F.col("p.key").alias("key"), "id", "two", F.col("p.step").alias("step"))
-        merged = scratch.write(_pairs_of_runs(split), "merged")
+        merged = scratch.write(_pairs_of_runs(split, open_rows * (BASE - SHARED + level)), "merged")
         found.append(merged.filter("step < 0").select("a", "b"))
     else:
         rest = merged.filter("step >= 0").select("key", F.col("a").alias("id"))
@@ -233,6 +266,15 @@ def common_share(a: str, b: str) -> tuple[int, int]:
     return sum(min(n, large[w]) for w, n in small.items() if w in large), max(x.total(), y.total())
 
 
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for rows, lengths, k in chunks(batch["text"]):
+            _, _, element = _elements(lengths, k)
+            bags = np.split(element.view(np.int64), np.cumsum(lengths)[:-1])
+            part = batch.iloc[rows]
+            yield pd.DataFrame({"kind": part["kind"].to_numpy(), "id": part["id"].to_numpy(), "bag": bags})
+
+
 def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), least_words: int = 12) -> DataFrame:
     """Pairs (record_kind, id_lo, id_hi) of records of one kind whose common words reach the threshold.
 
@@ -246,7 +288,8 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     are counted on a few bits of all 32 coordinates, and pairs above the match threshold are candidates.
     Lists too long to merge are skipped and split by further coordinates in prefix order; the split by itself
     loses no pair that shares 8 of the 32, but the match thresholds drop some that share few, so the operator
-    is not exact. Candidates are checked on the whole texts.
+    is not exact. Candidates are checked on all words of the whole texts, each met as a 64-bit key. Lists with more than about
+    HOT postings are told from a sample and split before they are shuffled, so none is sent to one task.
 
     Defined cases: null texts and texts under ``least_words`` words are in no pair; repeated rows of one id
     are one record; classes of any size give all their pairs, inside and with other classes, so the result
@@ -256,10 +299,17 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     scratch = Scratch(spark, "neardup")
     records = records.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     # ids of different kinds may be equal; classes are known by a key of their kind and bag
-    signed = scratch.write(_signed(records, _sketch(records), least_words).withColumn("cid", F.xxhash64("kind", "bag", "bag2")).drop("bag", "bag2"), "signed")
-    members = scratch.write(signed.select("kind", "id", "cid").distinct(), "members")
-    first = signed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"))
-    classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig"), "classes")
+    signed = scratch.write(_signed(records, _sketch(records), least_words), "signed")
+    for seed in range(100):  # two bags with one key would be one class: a seed is taken only where there are none
+        keyed = signed.withColumn("cid", F.xxhash64(F.lit(seed), "kind", "bag", "bag2"))
+        bag = F.struct("kind", "bag", "bag2")
+        first = keyed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"), (F.min(bag) != F.max(bag)).alias("clash"))
+        classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig", "clash"), "classes")
+        if not classes.filter("clash").limit(1).count():
+            break
+        scratch.drop(classes)
+    classes = classes.drop("clash")
+    members = scratch.write(keyed.select("kind", "id", "cid").distinct(), "members")
     scratch.drop(signed)
     scratch.release()
     near = _candidates(classes, scratch)
@@ -269,16 +319,14 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     pairs = scratch.write(pairs.select(F.col("kind_a").alias("kind"), "a", "b", "ra", "rb"), "pairs")
     scratch.release()
     ends = pairs.select("kind", F.explode(F.array("ra", "rb")).alias("id")).distinct()
-    texts = scratch.write(records.join(ends, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.min("text").alias("text")), "texts")
+    # of every text that is in a pair, once: the keys of its words with their occurrences
+    ended = records.join(ends, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.min("text").alias("text"))
+    texts = scratch.write(ended.mapInPandas(_bags, "kind string, id long, bag array<long>"), "texts")
     up, down = threshold
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        shares = [common_share(x, y) for x, y in zip(a, b, strict=True)]
-        return pd.Series([common * down >= up * longest for common, longest in shares], dtype=bool)
-
-    with_texts = pairs.join(texts.select("kind", F.col("id").alias("ra"), F.col("text").alias("ta")), ["kind", "ra"]).join(texts.select("kind", F.col("id").alias("rb"), F.col("text").alias("tb")), ["kind", "rb"])
-    true = scratch.write(with_texts.filter(alike("ta", "tb")).select("kind", "a", "b"), "true")
+    bag = lambda e: texts.select("kind", F.col("id").alias(f"r{e}"), F.col("bag").alias(f"t{e}"))
+    with_texts = pairs.join(bag("a"), ["kind", "ra"]).join(bag("b"), ["kind", "rb"])
+    alike = F.size(F.array_intersect("ta", "tb")) * down >= F.greatest(F.size("ta"), F.size("tb")) * up
+    true = scratch.write(with_texts.filter(alike).select("kind", "a", "b"), "true")
     scratch.release()
 
     sizes = members.groupBy("kind", "cid").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))

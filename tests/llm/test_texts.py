@@ -11,7 +11,7 @@ from loomgraph.llm.endings import cut_at_end
 from loomgraph.llm.leakage import RADIUS, WINDOW, ItemIndex, fingerprints, leak_report, leaked_items
 from loomgraph.llm.neardup import common_share, near_duplicates
 from loomgraph.llm.truncation import truncated, truncation_report
-from loomgraph.llm.words import WordKeys, words
+from loomgraph.llm.words import chunks, word_keys, words
 
 rng = random.Random(11)
 VOCAB = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(900)]
@@ -58,6 +58,9 @@ def test_near_duplicates(spark, monkeypatch):
     want = brute_near(rows)
     got = {tuple(r) for r in near_duplicates(df).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+    monkeypatch.setattr(neardup, "HOT", 3)  # lists are split before the exchange
+    monkeypatch.setattr(neardup, "ROWS", 300)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == got
     monkeypatch.setattr(neardup, "LIST", 2)  # every list is skipped and split
     split = {tuple(r) for r in near_duplicates(df).collect()}
     assert split <= want and len(split) >= 0.97 * len(want)
@@ -104,9 +107,20 @@ def test_runs_across_batches():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_word_keys():
+    texts = ["Ein Maß, zwei MASSE!", None, "", "...", "a_b ǅ ½ x² İstanbul ΟΔΟΣ", "ein " * 3, "\ud800 zwei"]
+    lengths, keys = word_keys(texts)
+    assert lengths.tolist() == [len(words(t)) for t in texts]
+    flat = [w for t in texts for w in words(t)]
+    assert len(set(zip(flat, keys.tolist(), strict=True))) == len(set(flat)) == len(set(keys.tolist()))
+    many = [text(30) for _ in range(50)]
+    cut = list(chunks(many, 500))
+    assert len(cut) > 10 and np.array_equal(np.concatenate([k for _, _, k in cut]), word_keys(many)[1]) and [i for r, _, _ in cut for i in r] == list(range(50))
+    assert word_keys([])[1].size == word_keys([None])[1].size == 0
+
+
 def test_fingerprints_and_blocks():
-    keys = WordKeys()
-    k = keys.of([rng.choice(VOCAB) for _ in range(5000)])
+    k = word_keys([text(5000)])[1]
     f = fingerprints(k)
     assert len(f) == 5000 - WINDOW + 1 and f[100] == fingerprints(k[100 : 100 + WINDOW])[0]
     items = [(i, text(30)) for i in range(40)]
