@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .words import chunks, mix, words
+from .words import chunks, mix, word_keys, words
 
 #: Buckets of the document-frequency sketch: its size is fixed, whatever the vocabulary.
 SKETCH = 1 << 18
@@ -225,8 +225,9 @@ def _pairs_of_runs(postings: DataFrame, rows: int) -> DataFrame:
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of class ids whose signatures share enough coordinates."""
-    posted = F.array(*[F.xxhash64(F.lit(n), "kind", *[F.element_at("sig", c + 1) for c in t]) for n, t in enumerate(TRIPLES)])
-    lists = classes.select(F.explode(posted).alias("key"), "id", "two", F.lit(0).alias("step"))
+    # a row for each triple first, then one short hash a row: one expression with all hashes is too long to be compiled
+    design = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(c).alias(f"c{i}") for i, c in enumerate(t)]) for n, t in enumerate(TRIPLES)])
+    lists = classes.select("id", "two", "kind", "sig", F.inline(design)).select(F.xxhash64("n", "kind", *[F.get("sig", F.col(f"c{i}")) for i in range(3)]).alias("key"), "id", "two", F.lit(0).alias("step"))
     merged = scratch.write(_pairs_of_runs(lists, classes.count() * POSTED), "merged")
     scratch.release()
     found = [merged.filter("step < 0").select("a", "b")]
@@ -266,13 +267,19 @@ def common_share(a: str, b: str) -> tuple[int, int]:
     return sum(min(n, large[w]) for w, n in small.items() if w in large), max(x.total(), y.total())
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for rows, lengths, k in chunks(batch["text"]):
-            _, _, element = _elements(lengths, k)
-            bags = np.split(element.view(np.int64), np.cumsum(lengths)[:-1])
-            part = batch.iloc[rows]
-            yield pd.DataFrame({"kind": part["kind"].to_numpy(), "id": part["id"].to_numpy(), "bag": bags})
+def _shares(a: pd.Series, b: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pairs of texts, in pieces of a batch: their rows, common words and words of the longer, as ``common_share``."""
+    size = 400_000
+    weight = (a.str.len() + b.str.len()).to_numpy()
+    for rows in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(weight) // size)) + 1) if len(a) else []:
+        (na, ka), (nb, kb) = word_keys(a.iloc[rows].tolist()), word_keys(b.iloc[rows].tolist())
+        ra, _, ea = _elements(na, ka)
+        rb, _, eb = _elements(nb, kb)
+        row, element = np.concatenate((ra, rb)), np.concatenate((ea, eb))
+        order = np.lexsort((element, row))
+        row, element = row[order], element[order]
+        both = (element[1:] == element[:-1]) & (row[1:] == row[:-1])
+        yield rows, np.bincount(row[1:][both], minlength=len(rows)), np.maximum(na, nb)
 
 
 def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), least_words: int = 12) -> DataFrame:
@@ -302,8 +309,8 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     signed = scratch.write(_signed(records, _sketch(records), least_words), "signed")
     for seed in range(100):  # two bags with one key would be one class: a seed is taken only where there are none
         keyed = signed.withColumn("cid", F.xxhash64(F.lit(seed), "kind", "bag", "bag2"))
-        bag = F.struct("kind", "bag", "bag2")
-        first = keyed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"), (F.min(bag) != F.max(bag)).alias("clash"))
+        several = lambda c: F.min(c) != F.max(c)
+        first = keyed.groupBy("cid").agg(F.min(F.struct("id", "kind", "two", "four1", "four2", "sig")).alias("m"), (several("bag") | several("bag2") | several("kind")).alias("clash"))
         classes = scratch.write(first.select(F.col("cid").alias("id"), F.col("m.id").alias("rep"), "m.kind", "m.two", "m.four1", "m.four2", "m.sig", "clash"), "classes")
         if not classes.filter("clash").limit(1).count():
             break
@@ -319,14 +326,19 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (4, 5), lea
     pairs = scratch.write(pairs.select(F.col("kind_a").alias("kind"), "a", "b", "ra", "rb"), "pairs")
     scratch.release()
     ends = pairs.select("kind", F.explode(F.array("ra", "rb")).alias("id")).distinct()
-    # of every text that is in a pair, once: the keys of its words with their occurrences
-    ended = records.join(ends, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.min("text").alias("text"))
-    texts = scratch.write(ended.mapInPandas(_bags, "kind string, id long, bag array<long>"), "texts")
+    texts = scratch.write(records.join(ends, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.min("text").alias("text")), "texts")
     up, down = threshold
-    bag = lambda e: texts.select("kind", F.col("id").alias(f"r{e}"), F.col("bag").alias(f"t{e}"))
-    with_texts = pairs.join(bag("a"), ["kind", "ra"]).join(bag("b"), ["kind", "rb"])
-    alike = F.size(F.array_intersect("ta", "tb")) * down >= F.greatest(F.size("ta"), F.size("tb")) * up
-    true = scratch.write(with_texts.filter(alike).select("kind", "a", "b"), "true")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        for at, common, longest in _shares(a, b):
+            out[at] = common * down >= longest * up
+        return pd.Series(out)
+
+    text = lambda e: texts.select("kind", F.col("id").alias(f"r{e}"), F.col("text").alias(f"t{e}"))
+    with_texts = pairs.join(text("a"), ["kind", "ra"]).join(text("b"), ["kind", "rb"])
+    true = scratch.write(with_texts.filter(alike("ta", "tb")).select("kind", "a", "b"), "true")
     scratch.release()
 
     sizes = members.groupBy("kind", "cid").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))

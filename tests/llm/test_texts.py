@@ -101,6 +101,16 @@ def test_labelled_texts_are_judged_whole():
     assert max(judged) > 900
 
 
+def test_shares_of_batches():
+    a = [text(n) for n in (3, 40, 700, 0, 12)] * 3
+    b = [edited(t, 0.2) if t else "" for t in a]
+    b[1] += " " + " ".join(a[1].split()[:9])
+    got = {}
+    for rows, common, longest in neardup._shares(pd.Series(a), pd.Series(b)):
+        got |= {int(r): (int(c), int(n)) for r, c, n in zip(rows, common, longest, strict=True)}
+    assert got == {i: common_share(x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))}
+
+
 def test_runs_across_batches():
     frames = pd.DataFrame({"key": [1, 1, 1, 2, 3, 3], "id": [1, 2, 3, 9, 5, 6], "two": [0, 0, 0, 0, 0, 1], "step": [0] * 6})
     a, b = neardup._alike(frames["id"].to_numpy()[:3], np.zeros(3, np.int64))
