@@ -26,3 +26,17 @@ def hashed_words(text: str | Column) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     digits = F.transform(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.substring(F.md5(w), 1, 1))
     return F.transform(F.array(*[F.lit(h) for h in "0123456789abcdef"]), lambda h: F.size(F.filter(digits, lambda d: d == h)).cast("double"))
+
+
+class HashedWords:
+    """``hashed_words`` as an embedding model."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import hashlib
+        import re
+
+        out = []
+        for text in texts:
+            first = [hashlib.md5(w.encode()).hexdigest()[0] for w in re.split(r"[\W_]+", text.lower()) if w]
+            out.append([float(first.count(h)) for h in "0123456789abcdef"])
+        return out

@@ -99,3 +99,29 @@ class SentenceExtractor:
             relations = [{"source": i, "target": i + 1, "relation": "SEQUENCE", "direction": "forward"} for i in range(len(props) - 1)]
             out.append(json.dumps({"propositions": props, "relations": relations}))
         return out
+
+
+class NameFuser:
+    """A deterministic judge of groups: members of a prompt's lines ``1. id | text | type`` with one lower-case text fuse."""
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for prompt in prompts:
+            sets: dict[str, list[str]] = {}
+            for line in prompt.split("\n"):
+                place, _, rest = line.partition(". ")
+                if place.isdigit() and rest.count(" | ") >= 2:
+                    node, text = rest.split(" | ")[0], " | ".join(rest.split(" | ")[1:-1])
+                    sets.setdefault(text.strip(" ").lower(), []).append(node)
+            out.append("The sets are: " + json.dumps({"fused_entities": [{"original_ids": ids} for ids in sets.values() if len(ids) > 1]}))
+        return out
+
+
+def extract_documents(documents: DataFrame, model: Callable[[], TextModel], retries: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Propositions, entities and relations of documents (doc_id, content), and (doc_id, ok): one call a document, in batches.
+
+    A document whose reply has no propositions is asked again, and is not ok if that gives none either.
+    """
+    prompts = documents.select("doc_id", F.col("content").alias("prompt"))
+    replies = complete(prompts, "prompt", model, retries, lambda reply: '"propositions"' in reply)
+    return *flatten_extraction(replies.filter("ok").select("doc_id", "reply")), replies.select("doc_id", "ok")

@@ -16,9 +16,9 @@ def scored_answers(results: DataFrame, field: str = "short_answer") -> DataFrame
     return each.groupBy(*keys).agg(F.max(em).alias("em"), F.max(f1).alias("f1"))
 
 
-def summary(scored: DataFrame, by: str) -> DataFrame:
+def summary(scored: DataFrame, by: str, places: int = 4) -> DataFrame:
     """Means by group and over all rows (null group), by one rollup."""
-    return scored.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("em") * 100, 4).alias("em"), F.round(F.avg("f1") * 100, 4).alias("f1"))
+    return scored.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("em") * 100, places).alias("em"), F.round(F.avg("f1") * 100, places).alias("f1"))
 
 
 def doc_number(c: str) -> Column:
@@ -38,3 +38,13 @@ def all_facts_valid(samples: DataFrame, valid: DataFrame, key: str, facts: str,
     """Samples all of whose facts are valid; a sample without facts passes, a null fact is ignored."""
     bad = samples.select(key, F.explode(facts).alias(fact)).filter(F.col(fact).isNotNull()).join(valid.select(fact).distinct(), fact, "left_anti")
     return samples.join(bad.select(key).distinct(), key, "left_anti")
+
+
+def judge_summary(verdicts: DataFrame, by: str) -> DataFrame:
+    """(by, n, n_right, share) of verdicts (is_correct 0 or 1) by group and over all rows (null group)."""
+    return verdicts.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.sum("is_correct").alias("n_right"), F.round(F.avg("is_correct") * 100, 4).alias("share"))
+
+
+def mean_scores(scores: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, n, mean) of scores that are numbers."""
+    return scores.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean"))

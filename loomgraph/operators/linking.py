@@ -85,3 +85,68 @@ def fused_nodes(nodes: DataFrame, mapping: DataFrame, globals_: DataFrame) -> Da
     """Nodes after fusion: members go, fused entities come."""
     kept = nodes.join(mapping.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("node_id", "node_type", "text")
     return kept.unionByName(globals_.select(F.col("global_id").alias("node_id"), F.lit("global_entity").alias("node_type"), "text"))
+
+
+def packed_groups(members: DataFrame, chunk: int = 20) -> DataFrame:
+    """(group_id, kind, part, entities): the groups of ``split_groups`` with their members, at most ``chunk`` of them.
+
+    Groups of one text and type, of any size, are packed in chunks of their own as well; ``auto`` ones of several
+    chunks are one group all the same (see ``auto_fusions``).
+    """
+    same = members.groupBy("group_id").agg((F.count_distinct(F.coalesce("text", F.lit("")), F.coalesce("type", F.lit(""))) == 1).alias("same"))
+    rn = F.row_number().over(Window.partitionBy("group_id").orderBy(F.coalesce("similarity", F.lit(-1.0)).desc(), "id"))
+    rows = members.withColumn("rn", rn).join(same, "group_id").withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int"))
+    packed = rows.groupBy("group_id", F.when(F.col("same"), "auto").otherwise("judge").alias("kind"), "part").agg(F.array_sort(F.collect_list(F.struct("rn", "id", "text", "type", "similarity"))).alias("entities"))
+    return packed.filter("size(entities) > 1")
+
+
+def auto_fusions(members: DataFrame) -> DataFrame:
+    """(group_id, id, text, type, confidence): groups whose members all have one text and type fuse without a judge."""
+    same = members.groupBy("group_id").agg(F.count_distinct(F.coalesce("text", F.lit("")), F.coalesce("type", F.lit(""))).alias("forms"), F.count_distinct("id").alias("n"))
+    return members.join(same.filter("forms = 1 AND n > 1").select("group_id"), "group_id", "left_semi").select("group_id", "id", "text", "type", F.lit(1.0).alias("confidence")).distinct()
+
+
+def judged_fusions(groups: DataFrame, replies: DataFrame) -> DataFrame:
+    """(group_id, part, fused, id): the sets a judge's replies make of packed groups; ids that are not in the group, sets
+    of fewer than two, and replies that do not parse fuse nothing. ``replies`` has group_id, part and reply."""
+    from ..functions.replies import json_text
+
+    v = F.from_json(json_text("reply", "fused_entities"), "fused_entities array<struct<original_ids:array<string>>>")
+    told = replies.select("group_id", "part", F.posexplode(v["fused_entities"]).alias("fused", "f")).select("group_id", "part", "fused", F.explode("f.original_ids").alias("id")).distinct()
+    inside = groups.select("group_id", "part", F.explode("entities.id").alias("id"))
+    met = told.join(inside, ["group_id", "part", "id"], "left_semi")
+    several = met.groupBy("group_id", "part", "fused").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return met.join(several, ["group_id", "part", "fused"], "left_semi").select("group_id", "part", "fused", "id")
+
+
+def fused_documents(valid: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(fused_id, doc_id): the documents of the members of each fused entity, a row each."""
+    docs = mentions.select(F.col("entity_id").alias("id"), "doc_id").distinct()
+    return valid.join(docs, "id").select("fused_id", "doc_id").distinct()
+
+
+def fuse(nodes: DataFrame, edges: DataFrame, fused: DataFrame, members: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole fusion: nodes (node_id, node_type, text, member_count) and edges (src, dst, edge_type) of the graph after it.
+
+    Members of valid fusions leave, fused entities come, their mention edges move over and fall together; edges
+    between propositions stay.
+    """
+    valid = valid_fusions(fused, members)
+    mapping, made = fusion_map(valid), global_entities(valid, mentions)
+    kept = nodes.join(mapping.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("node_id", "node_type", "text", F.lit(None).cast("long").alias("member_count"))
+    after = kept.unionByName(made.select(F.col("global_id").alias("node_id"), F.lit("global_entity").alias("node_type"), "text", "member_count"))
+    moved = redirect_edges(edges, mapping, made).withColumn("edge_type", F.lit(MENTIONS))
+    return after, moved.unionByName(edges.filter(F.col("edge_type") != MENTIONS).select("src", "dst", "edge_type"))
+
+
+def generate_candidates(propositions: DataFrame, entities: DataFrame, k: int = 100, threshold: float = 0.85, entity_k: int = 20, entity_threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """From vectors to candidates: unordered cross-document pairs of propositions, and entity groups (leader, member).
+
+    ``propositions`` and ``entities`` have node_id, doc_id and vec; ``propositions`` and ``entities`` may carry a column
+    ``asked`` that says which rows are queries (all by default).
+    """
+    from .knn import neighbour_pairs, unordered_pairs
+
+    pairs = neighbour_pairs(propositions, k, threshold)
+    lists = neighbour_pairs(entities, entity_k, entity_threshold)
+    return unordered_pairs(pairs.select("id1", "id2", "similarity"), [-F.col("similarity"), F.col("id1")]), leader_groups(lists.select(F.col("id1").alias("leader"), F.col("id2").alias("member")))

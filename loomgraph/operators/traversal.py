@@ -33,14 +33,19 @@ def anchor_priority(anchors: DataFrame, questions: DataFrame, gaps: DataFrame, w
     return best.select("question_id", "node_id", F.round(w_question * F.col("s") + w_gap * F.coalesce("g", F.lit(0.0)), 6).alias("priority"))
 
 
-def neighbours(frontier: DataFrame, adjacency: DataFrame, active: list[str]) -> DataFrame:
+def neighbours(frontier: DataFrame, adjacency: DataFrame, active: list[str], groups: DataFrame | None = None) -> DataFrame:
     """Candidates (.., node_id -> to): active or similar edges between propositions, one hop over an entity, and
-    from a frontier node that is an entity itself to the propositions that mention it."""
+    from a frontier node that is an entity itself to the propositions that mention it. ``groups`` (question_id,
+    group_id, edges) narrows the active edges of each group of the frontier to its own."""
     keys = [c for c in frontier.columns if c != "node_id"]
-    direct = adjacency.filter(F.col("edge_type").isin([*active, "SIMILARITY"]) & (F.col("neighbour_type") == "proposition")).select("node_id", F.col("neighbour").alias("to"))
+    direct = adjacency.filter(F.col("edge_type").isin([*active, "SIMILARITY"]) & (F.col("neighbour_type") == "proposition")).select("node_id", "edge_type", F.col("neighbour").alias("to"))
     to_entity = adjacency.filter((F.col("edge_type") == MENTIONS) & (F.col("neighbour_type") != "proposition")).select("node_id", F.col("neighbour").alias("entity"))
     from_entity = adjacency.filter((F.col("edge_type") == MENTIONS) & (F.col("neighbour_type") == "proposition")).select(F.col("node_id").alias("entity"), F.col("neighbour").alias("to"))
     one = frontier.join(direct, "node_id")
+    if groups is not None:
+        own = one.join(groups.select("question_id", "group_id", "edges"), ["question_id", "group_id"])
+        one = own.filter((F.col("edge_type") == "SIMILARITY") | F.array_contains("edges", F.col("edge_type"))).drop("edges")
+    one = one.drop("edge_type")
     two = frontier.join(to_entity, "node_id").join(from_entity, "entity").drop("entity")
     three = frontier.join(from_entity.withColumnRenamed("entity", "node_id"), "node_id")
     return one.unionByName(two).unionByName(three).filter("to <> node_id").select(*keys, "node_id", "to").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,47 @@ def load_index(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """A stored vector table; vectors of another length raise when the table is read."""
     df = spark.read.parquet(path)
     return df.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit(f"vector length is not {dim}: "), F.size("vec").cast("string")))))
+
+
+def index_dim(spark: SparkSession, path: str) -> int:
+    """The length of the vectors of a stored index, as written beside it."""
+    return spark.read.json(f"{path}.meta").first()["dim"]
+
+
+def load_checked_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index with the length that its own record names."""
+    return load_index(spark, path, index_dim(spark, path))
+
+
+def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All vector tables of a store by name; the name is a partition, so one table's files are read for one name."""
+    store = spark.read.parquet(path)
+    names = [r["index_name"] for r in store.select("index_name").distinct().collect()]
+    return {str(n): store.filter(F.col("index_name") == n).drop("index_name") for n in sorted(map(str, names))}
+
+
+class Artefacts(dict):
+    """Stored artefacts by name, each read when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> None:
+        super().__init__()
+        self.spark, self.path = spark, path
+        for name in required:  # hard requirements fail at once
+            self[name]
+
+    def __missing__(self, name: str) -> DataFrame:
+        table = self[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return table
+
+
+def load_artefacts(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> Artefacts:
+    """The tables of ``sinks.persist_artefacts``: adjacency, mappings, metadata, lookups, statistics and indexes."""
+    return Artefacts(spark, path, required)
+
+
+def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table; where there is none it is computed, stored and read back."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
