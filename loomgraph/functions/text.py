@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Relation names and the coarse edge type each belongs to; any other is SIMILARITY.
@@ -86,24 +86,29 @@ def clean_short_answer(c: str | Column) -> Column:
     return F.trim(t)
 
 
-def json_body(c: str | Column) -> Column:
-    """The JSON object inside a model's reply: fenced, else from the first to the last brace; else null."""
-    t = _col(c)
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braced = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braced, F.lit("")))
-
-
-def json_field(c: str | Column, field: str) -> Column:
-    return F.get_json_object(json_body(c), f"$.{field}")
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays read as sets; 0 where both are empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either == 0, 0.0).otherwise(both / either)
 
 
+def jaccard_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """Ordered pairs (id1, id2, similarity) of rows whose sets of items have at least the similarity, both ways.
+
+    ``items`` is an array without repetitions. Two sets of similarity t share one of the first n - ceil(t n) + 1 of their n
+    items in one common order, so rows meet by these alone, the rarest first: frequent items lead to no pairs.
+    """
+    each = sets.select(key, F.size(items).alias("n"), F.explode(items).alias("item"))
+    rare = each.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(rare, "item").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("f", "item")))
+    # a hair below the product, as 0.3 * 10 may come out above 3
+    heads = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(key, "item")
+    met = heads.withColumnRenamed(key, "id1").join(heads.withColumnRenamed(key, "id2"), "item").filter("id1 <> id2").select("id1", "id2").distinct()
+    side = lambda i: sets.select(F.col(key).alias(f"id{i}"), F.col(items).alias(f"w{i}"))
+    scored = met.join(side(1), "id1").join(side(2), "id2").withColumn("similarity", jaccard(F.col("w1"), F.col("w2")))
+    return scored.filter(F.col("similarity") >= least).select("id1", "id2", "similarity")
+
+
 def words_lower(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"\s+"), lambda x: x != "")
 

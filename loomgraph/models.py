@@ -69,9 +69,10 @@ def embed_distinct(texts: DataFrame, column: str, model: Callable[[], EmbeddingM
 
 def flatten_extraction(replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Propositions, entities and relations of (doc_id, reply) rows; replies that do not parse give none."""
-    from .functions.text import direction, json_body
+    from .functions.replies import json_text
+    from .functions.text import direction
 
-    parsed = replies.select("doc_id", F.from_json(json_body("reply"), "struct<" + EXTRACTED.replace("propositions array", "propositions:array").replace(" relations array", "relations:array") + ">").alias("j"))
+    parsed = replies.select("doc_id", F.from_json(json_text("reply", "propositions"), "struct<" + EXTRACTED.replace("propositions array", "propositions:array").replace(" relations array", "relations:array") + ">").alias("j"))
     props = parsed.select("doc_id", F.explode("j.propositions").alias("p"))
     relations = parsed.select("doc_id", F.inline("j.relations")).withColumn("direction", direction("direction"))
     entities = props.select("doc_id", F.col("p.id").alias("prop_idx"), F.inline("p.entities"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_PARTS = 64
+#: Bounds of the number of parts a key's share is measured against.
+LEAST_PARTS, MOST_PARTS = 64, 4_096
 
 
-def hot_keys(counts: DataFrame, key: str, count: str = "cnt", parts: int = HOT_PARTS) -> list:
-    """Keys with more than 1/``parts`` of all rows, from a table of counts by key.
+def hot_keys(counts: DataFrame, key: str, count: str = "cnt", parts: int | None = None) -> list:
+    """Keys with more rows than a shuffle partition has on average, from a table of counts by key.
 
-    There are fewer than ``parts`` such keys whatever the data, so the list is bounded.
+    ``parts`` is the number of shuffle partitions between LEAST_PARTS and MOST_PARTS. There are fewer
+    such keys than parts whatever the data, so the list is bounded.
     """
+    if parts is None:
+        parts = min(MOST_PARTS, max(LEAST_PARTS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     total = counts.agg(F.sum(count).alias("n")).first()["n"]
     if not total:
         return []
@@ -26,8 +28,8 @@ def hot_keys(counts: DataFrame, key: str, count: str = "cnt", parts: int = HOT_P
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has at most one row per ``key``.
 
-    Rows of the ``hot`` keys meet their right rows by broadcast (at most ``len(hot)`` rows, fewer than
-    ``HOT_PARTS``) and are never shuffled; all others take an ordinary join. ``how`` is inner or left.
+    Rows of the ``hot`` keys meet their right rows by broadcast (at most ``len(hot)`` rows, see
+    ``hot_keys``) and are never shuffled; all others take an ordinary join. ``how`` is inner or left.
     """
     if not hot:
         return left.join(right, key, how)
@@ -35,7 +37,3 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list, how: str
     cold = left.filter(~is_hot).join(right.filter(~is_hot), key, how)
     warm = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
     return cold.unionByName(warm)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -99,10 +99,6 @@ def unique_paths(paths: DataFrame, order: list[Column]) -> DataFrame:
     return paths.withColumn("rn", rn).filter("rn = 1").drop("rn")
 
 
-def with_prefix(paths: DataFrame, prefix: list[str]) -> DataFrame:
-    return paths.filter(F.slice("path", 1, len(prefix)) == F.array(*[F.lit(x) for x in prefix]))
-
-
 def top_paths(paths: DataFrame, k: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("normalized_score").desc(), F.array_join("path", " ")))
     return paths.withColumn("path_rank", rn).filter(F.col("path_rank") <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..functions.replies import reply_field
 from ..functions.vector import cosine, hashed_words
 from ..operators import evaluation, graph, knn, linking, traversal
 from ..session import read_table
@@ -145,6 +146,11 @@ def entity_keys(s: SparkSession, d: str) -> DataFrame:
     return _mentions(s, d).select("entity_id", T.entity_id("doc_id", "text").alias("made_id")).distinct()
 
 
+@query("SELECT DISTINCT node_id, doc_id || '_prop_' || prop_idx AS made_id FROM propositions")
+def proposition_keys(s: SparkSession, d: str) -> DataFrame:
+    return _props(s, d).select("node_id", T.proposition_id("doc_id", "prop_idx").alias("made_id")).distinct()
+
+
 _DEGREE = "deg AS (SELECT n.node_id, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.src = n.node_id AND e.edge_type = 'MENTIONS_ENTITY' WHERE n.node_type = 'proposition' GROUP BY 1)"
 
 
@@ -530,17 +536,15 @@ def short_answer(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT DISTINCT answer_id, CASE WHEN json_valid(b) THEN b ->> '$.answer' END AS value FROM (SELECT answer_id, coalesce(nullif(regexp_extract(answer, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1), ''), nullif(regexp_extract(answer, '(?s)(\\{.*\\})', 1), '')) AS b FROM answer_results)""")
 def json_extract(s: SparkSession, d: str) -> DataFrame:
-    return read_table(s, d, "answer_results").select("answer_id", T.json_field("answer", "answer").alias("value")).distinct()
+    return read_table(s, d, "answer_results").select("answer_id", reply_field("answer", "answer").alias("value")).distinct()
 
 
 @query("""WITH q AS (SELECT DISTINCT question_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) AS w FROM test_questions WHERE question IS NOT NULL)
     SELECT a.question_id AS q1, b.question_id AS q2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS similarity FROM q a, q b
-    WHERE a.question_id % 50 = 0 AND a.question_id <> b.question_id AND len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.3""")
+    WHERE a.question_id <> b.question_id AND len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.3""")
 def gap_jaccard(s: SparkSession, d: str) -> DataFrame:
-    q = read_table(s, d, "test_questions").filter("question IS NOT NULL").select("question_id", T.words_lower("question").alias("w")).distinct()
-    a = q.filter("question_id % 50 = 0").select(F.col("question_id").alias("q1"), F.col("w").alias("w1"))
-    x = q.select(F.col("question_id").alias("q2"), "w").crossJoin(F.broadcast(a)).filter("q1 <> q2").withColumn("s", T.jaccard(F.col("w1"), F.col("w")))
-    return x.filter("s >= 0.3").select("q1", "q2", F.round("s", 6).alias("similarity"))
+    q = read_table(s, d, "test_questions").filter("question IS NOT NULL").select("question_id", F.array_distinct(T.words_lower("question")).alias("w")).distinct()
+    return T.jaccard_pairs(q, "question_id", "w", 0.3).select(F.col("id1").alias("q1"), F.col("id2").alias("q2"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {_RUNS} SELECT r.question_id, count(*) AS attempts, CASE WHEN count(*) FILTER (a.short_answer IS NOT NULL AND a.confidence >= 0.8) > 0 THEN 'satisfied' WHEN count(*) FILTER (a.short_answer IS NOT NULL) > 0 THEN 'partially_satisfied' WHEN count(*) >= 2 THEN 'exhausted' ELSE 'active' END AS status
@@ -617,6 +621,7 @@ def rule_judge(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
 def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
+    """A search: every vector whose id is divisible by 50 against all vectors of its label."""
     e = read_table(s, d, "embeddings")
     a, b = e.filter("vec_id % 50 = 0").alias("a"), e.alias("b")
     return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id"))).select(F.col("a.vec_id").alias("id1"), F.col("b.vec_id").alias("id2"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))

@@ -231,6 +231,12 @@ def path_documents(s: SparkSession, d: str) -> DataFrame:
     return _paths(s, d).select("question_id", "path_rank", F.array_join(covered, " ").alias("docs"))
 
 
+@query(f"WITH {_FIRST_RUNS} SELECT question_id, CAST(path_rank AS INTEGER) AS path_rank, coalesce((SELECT string_agg((h.pos + 1) || '. ' || h.doc_id, chr(10) ORDER BY h.pos) FROM hits h WHERE h.question_id = p.question_id AND h.path_rank = p.path_rank AND h.doc_id IS NOT NULL), '') AS text FROM p WHERE NOT list_contains(list_transform(docs, lambda x: x IS NULL), true)")
+def numbered_evidence(s: SparkSession, d: str) -> DataFrame:
+    p = _paths(s, d).filter(~F.exists("path", lambda x: x.isNull()))
+    return p.select("question_id", "path_rank", T.numbered_lines("path").alias("text"))
+
+
 # Stages ---------------------------------------------------------------------------------------------
 
 _STATES = """st AS (SELECT question_id, count(*) AS attempts, CASE WHEN count(*) FILTER (short_answer IS NOT NULL AND confidence >= 0.8) > 0 THEN 'satisfied' WHEN count(*) FILTER (short_answer IS NOT NULL) > 0 THEN 'partially_satisfied' WHEN count(*) >= 2 THEN 'exhausted' ELSE 'active' END AS status

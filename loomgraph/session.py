@@ -9,11 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def active_session() -> SparkSession:
-    spark = SparkSession.getActiveSession()
-    return spark if spark is not None else SparkSession.builder.getOrCreate()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table (a file or a directory of files) of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,11 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a laptop) a local folder is chosen.
+    Only in local mode (tests, a laptop) a folder of the machine stands in for a missing setting; on a cluster
+    that is an error, as executors would not see each other's files.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     global _own_dir
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="loomgraph-")

@@ -24,29 +24,28 @@ def first_mentions(mentions: DataFrame, late: str = "2 days") -> DataFrame:
     return _timed(mentions, late).dropDuplicatesWithinWatermark(["doc_id", "text", "prop_idx"])
 
 
-def upsert_nodes(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps a node table current: each micro-batch is a new version folder of the buckets it touches.
+def upsert_nodes(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Keeps a node table current: each micro-batch rewrites the buckets it touches.
 
-    The table at ``path`` is bucketed by a hash of the node id into folders; a batch rewrites only the
-    buckets of its own nodes, keeping the latest row per node by seq. A batch that is run again after a
-    failure gives the same folders.
+    The table at ``path`` is bucketed by a hash of the node id into ``buckets`` folders; a batch rewrites only the
+    buckets of its own nodes, keeping the latest row per node by seq. The new buckets are staged under the
+    batch's number first. A batch that is run again after a failure takes a staged copy that is whole in place of
+    reading the table, which may have lost buckets when the job died while it was overwritten.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(64)).cast("int"))
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        if exists:
-            old = spark.read.schema(rows.schema).parquet(path).filter(F.col("bucket").isin(touched))
-            rows = old.unionByName(rows)
-        latest = first_by(rows, ["node_id"], [F.col("seq")], last=True)
+        exists = lambda p: (q := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(q)
         staged = f"{checkpoint}/staged/{epoch}"
-        latest.write.mode("overwrite").parquet(staged)  # the target is read and written, so results are staged
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        spark.read.parquet(staged).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        if not exists(f"{staged}/_SUCCESS"):
+            rows = batch.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets)).cast("int"))
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            if exists(path):
+                old = spark.read.schema(rows.schema).parquet(path).filter(F.col("bucket").isin(touched))
+                rows = old.unionByName(rows)
+            first_by(rows, ["node_id"], [F.col("seq")], last=True).write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/state")

@@ -14,8 +14,8 @@ def test_knn_join_exact_and_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(60)], "item_id long, vec array<double>")
     q = v.filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vec")
     unit = m / np.linalg.norm(m, axis=1)[:, None]
-    for block in (4000, 2):
-        monkeypatch.setattr(knn, "BLOCK", block)
+    for size in (64 << 20, 8 * 8 * 2):  # all queries at once, two in a block
+        monkeypatch.setattr(knn, "BLOCK_BYTES", size)
         got = {}
         for r in knn.knn_join(q, v, 5).collect():
             got.setdefault(r["query_id"], {})[r["item_rank"]] = r["item_id"]

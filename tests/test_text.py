@@ -4,6 +4,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomgraph.functions import replies as R
 from loomgraph.functions import text as T
 from loomgraph.functions.vector import cosine, hashed_words
 
@@ -43,7 +44,7 @@ def test_f1_against_counting(spark, pairs):
 
 def test_json_short_answers_and_types(spark):
     row = spark.createDataFrame([("say ```json\n{\"answer\": \"X\"}\n``` ok", "x {\"answer\": \"Y\"} z", "none", " \"It's  so.\" ", "CAUSED_BY", "backward")], "a string, b string, c string, s string, t string, d string")
-    r = row.select(T.json_field("a", "answer"), T.json_field("b", "answer"), T.json_field("c", "answer"), T.clean_short_answer("s"), T.edge_type("t"), T.direction("d")).first()
+    r = row.select(R.reply_field("a", "answer"), R.reply_field("b", "answer"), R.reply_field("c", "answer"), T.clean_short_answer("s"), T.edge_type("t"), T.direction("d")).first()
     assert tuple(r) == ("X", "Y", None, "It's so", "DETAIL", "2->1")
 
 
