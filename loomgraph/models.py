@@ -102,6 +102,14 @@ class SentenceExtractor:
         return out
 
 
+class LineExtractor:
+    """A deterministic extractor: one proposition a line with text, no reply for a prompt without any."""
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        lines = [[x for x in prompt.split("\n") if x.strip(" ")] for prompt in prompts]
+        return [json.dumps({"propositions": [{"id": i, "text": x, "sentence_index": i, "entities": []} for i, x in enumerate(xs)]}) if xs else None for xs in lines]
+
+
 class NameFuser:
     """A deterministic judge of groups: members of a prompt's lines ``1. id | text | type`` with one lower-case text fuse."""
 

@@ -418,12 +418,43 @@ def _beam(s: SparkSession, d: str) -> DataFrame:
     return traversal.beam_search(_anchors(s, d), graph.adjacency(nodes, edges), _prop_vectors(s, d), _questions(s, d), norm["norm"] if norm else 1.0)
 
 
-@query()
+def _beam_sql() -> str:
+    """The beam search written out depth by depth: the frontier's candidates, their scores, the best edges, the new nodes."""
+    ctes = [f"""{_GRAPH}, {_ADJ}, {_DEGREE}, {_QV}, {_PV}, {_SEM},
+    norm AS (SELECT greatest(median(degree), round(avg(degree), 6)) AS norm FROM deg WHERE degree > 0),
+    adjm AS MATERIALIZED (SELECT * FROM adj), pvm AS MATERIALIZED (SELECT * FROM pv), qvm AS MATERIALIZED (SELECT * FROM qv),
+    ent AS MATERIALIZED (SELECT node_id, neighbour AS entity FROM adjm WHERE edge_type = 'MENTIONS_ENTITY'),
+    hop AS MATERIALIZED (SELECT node_id, neighbour AS "to" FROM adjm WHERE edge_type IN ('SKELETON', 'DETAIL', 'SIMILARITY') AND neighbour_type = 'proposition'
+        UNION SELECT i.node_id, j.neighbour FROM adjm i JOIN adjm j ON j.node_id = i.neighbour AND j.edge_type = 'MENTIONS_ENTITY' AND j.neighbour_type = 'proposition' WHERE i.edge_type = 'MENTIONS_ENTITY' AND i.neighbour_type <> 'proposition'
+        UNION SELECT node_id, neighbour FROM adjm WHERE edge_type = 'MENTIONS_ENTITY' AND neighbour_type = 'proposition'),
+    f0 AS MATERIALIZED (SELECT DISTINCT question_id, node_id, NULL::VARCHAR AS parent, 0 AS depth, 0.0::DOUBLE AS score, 0.0::DOUBLE AS raw_score, [node_id] AS path FROM anchors),
+    t0 AS MATERIALIZED (SELECT * FROM f0), v0 AS MATERIALIZED (SELECT DISTINCT question_id, entity FROM f0 JOIN ent USING (node_id))"""]
+    for d in range(1, Settings.beam_depth + 1):
+        ctes.append(f"""
+    c{d} AS MATERIALIZED (SELECT DISTINCT f.question_id, f.raw_score, f.path, f.node_id, h."to" FROM f{d - 1} f JOIN hop h USING (node_id) WHERE h."to" <> f.node_id),
+    n{d} AS MATERIALIZED (SELECT c.question_id, c."to", count(DISTINCT e.entity) AS fresh FROM (SELECT DISTINCT question_id, "to" FROM c{d}) c JOIN ent e ON e.node_id = c."to"
+        WHERE NOT EXISTS (SELECT 1 FROM v{d - 1} v WHERE v.question_id = c.question_id AND v.entity = e.entity) GROUP BY 1, 2),
+    s{d} AS MATERIALIZED (SELECT c.*, round(0.4 * {_SIM.format('q.q', 'p.v')} + 0.3 * CASE WHEN norm <= 0 THEN 0.0 ELSE round(least(1.0, ln(1 + coalesce(n.fresh, 0)) / ln(1 + norm)), 6) END, 6) AS score
+        FROM c{d} c JOIN pvm p ON p.node_id = c."to" JOIN qvm q ON q.question_id = c.question_id LEFT JOIN n{d} n ON n.question_id = c.question_id AND n."to" = c."to", norm),
+    b{d} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, "to", node_id) AS r FROM s{d}) WHERE r <= {Settings.beam_width}),
+    f{d} AS MATERIALIZED (SELECT question_id, "to" AS node_id, arg_min(node_id, r) AS parent, {d} AS depth, arg_min(score, r) AS score, round(arg_min(raw_score, r) + arg_min(score, r), 6) AS raw_score, list_append(arg_min(path, r), "to") AS path
+        FROM b{d} b WHERE NOT EXISTS (SELECT 1 FROM t{d - 1} t WHERE t.question_id = b.question_id AND t.node_id = b."to") GROUP BY question_id, "to"),
+    t{d} AS MATERIALIZED (SELECT * FROM t{d - 1} UNION ALL SELECT * FROM f{d}), v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION SELECT question_id, entity FROM f{d} JOIN ent USING (node_id))""")
+    last = Settings.beam_depth
+    ctes.append(f"""
+    leaves AS (SELECT question_id, array_to_string(path, ' ') AS path, raw_score, round(raw_score / len(path), 6) AS normalized_score FROM t{last} t WHERE NOT EXISTS (SELECT 1 FROM t{last} k WHERE k.question_id = t.question_id AND k.parent = t.node_id))""")
+    return ",".join(ctes)
+
+
+_BEAM = _beam_sql()
+
+
+@query(f"{_BEAM} SELECT question_id, node_id, parent, CAST(depth AS INTEGER) AS depth, score, raw_score FROM t{Settings.beam_depth}")
 def beam_tree(s: SparkSession, d: str) -> DataFrame:
     return _beam(s, d).select("question_id", "node_id", "parent", "depth", "score", "raw_score")
 
 
-@query()
+@query(f"{_BEAM} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY normalized_score DESC, path) AS INTEGER) AS path_rank FROM leaves) WHERE path_rank <= 10")
 def beam_paths(s: SparkSession, d: str) -> DataFrame:
     paths = traversal.top_paths(traversal.leaf_paths(_beam(s, d)), 10)
     return paths.select("question_id", F.array_join("path", " ").alias("path"), "raw_score", "normalized_score", "path_rank")
