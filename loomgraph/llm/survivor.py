@@ -37,11 +37,12 @@ def survivorship(records: DataFrame, groups: DataFrame) -> DataFrame:
 
     Defined cases: confidence that is null, NaN or outside 0 to 1 ranks lowest, a null time last; repeated
     records change nothing; a null fused_id supplies nothing; records without a group id form no group; a
-    group without texts has no occurrences; empty input, empty result; other columns are ignored.
+    group without texts has no occurrences, lists of one group stored twice count once, differing ones both; empty input, empty result; other columns are ignored.
     """
     usable_conf = F.when(F.isnan("confidence") | ~F.col("confidence").between(0, 1), F.lit(-1.0)).otherwise(F.coalesce(F.col("confidence"), F.lit(-1.0)))
     recs = records.filter("group_id IS NOT NULL").select("group_id", "fused_id", "fused_text", "fused_type", "fused_at", usable_conf.cast("double").alias("conf"), trimmed("fused_text").alias("name"))
-    texts = groups.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.max("entity_texts").alias("entity_texts"))
+    # a list stored twice counts once; differing lists of one group count both
+    texts = groups.filter("group_id IS NOT NULL").select("group_id", "entity_texts").distinct()
     seen = texts.select("group_id", F.explode("entity_texts").alias("t")).select("group_id", trimmed("t").alias("name")).filter("name IS NOT NULL").groupBy("group_id", "name").agg(F.count(F.lit(1)).alias("occ"))
     recs = recs.join(seen, ["group_id", "name"], "left")
 
