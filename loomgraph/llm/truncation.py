@@ -13,6 +13,8 @@ from .endings import cut_at_end
 NEIGHBOURS = 40
 #: False-discovery rate of the lengths, and texts a limit must have stopped at least.
 FDR, LEAST = 0.01, 3
+#: Sizes of p that are told apart, in quarters of its natural logarithm; smaller ones are one size.
+SIZES = 2_800
 
 
 def length_hazards(lengths: DataFrame) -> DataFrame:
@@ -37,10 +39,14 @@ def length_hazards(lengths: DataFrame) -> DataFrame:
 
 def significant_lengths(hazards: DataFrame) -> DataFrame:
     """The lengths that stay significant under Benjamini-Hochberg control over all tests."""
-    # ranks are needed only among p <= FDR, the few smallest of all; the number of tests is a scalar
+    # ranks are counted by the size of p: a cumulative count over a bounded number of sizes, then ranks within one size,
+    # so no task sorts all tests; the sizes are ordered, so both together are the rank among all
+    low = hazards.filter(F.col("p") <= FDR).withColumn("size", F.greatest(F.lit(-SIZES), F.round(F.log(F.greatest(F.col("p"), F.lit(1e-300))) * 4)).cast("int"))
+    sizes = low.groupBy("size").agg(F.count(F.lit(1)).alias("many")).withColumn("before", F.sum("many").over(Window.orderBy("size")) - F.col("many"))
+    within = F.row_number().over(Window.partitionBy("size").orderBy("p", "source", "measure", "length"))
     tests = hazards.agg(F.count(F.lit(1)).alias("tests"))
-    low = hazards.filter(F.col("p") <= FDR).crossJoin(F.broadcast(tests)).withColumn("rank", F.row_number().over(Window.orderBy("p", "source", "measure", "length")))
-    passed = low.filter(F.col("p") <= F.col("rank") * FDR / F.col("tests")).agg(F.max("p").alias("cut"))
+    ranked = low.withColumn("within", within).join(F.broadcast(sizes.drop("many")), "size").withColumn("rank", F.col("before") + F.col("within")).crossJoin(F.broadcast(tests))
+    passed = ranked.filter(F.col("p") <= F.col("rank") * FDR / F.col("tests")).agg(F.max("p").alias("cut"))
     return low.crossJoin(F.broadcast(passed)).filter((F.col("p") <= F.col("cut")) & (F.col("n") >= LEAST)).select("source", "measure", "length", "n")
 
 

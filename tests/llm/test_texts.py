@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.llm import neardup, packing
+from loomgraph.llm import neardup, packing, truncation
 from loomgraph.llm.defects import LanguageModel, bare, defect_of, defective_pairs, judge, whole_share
 from loomgraph.llm.endings import cut_at_end
 from loomgraph.llm.leakage import RADIUS, WINDOW, ItemIndex, fingerprints, leak_report, leaked_items
@@ -304,6 +304,17 @@ def test_truncated(spark):
     assert truncated(df.limit(0)).count() == 0
 
 
+def test_false_discovery_control_ranks_over_all(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [("s", "chars", i, r.randint(3, 9), 10 ** r.uniform(-9, 0) if i % 3 else 10 ** r.uniform(-400, -1) + 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "source string, measure string, length int, n int, p double")
+    order = sorted(x[4] for x in rows)
+    cut = max((p for k, p in enumerate(order, 1) if p <= k * truncation.FDR / len(rows)), default=-1)
+    want = {x[2] for x in rows if x[4] <= cut}
+    assert {x["length"] for x in truncation.significant_lengths(df).collect()} == want and want
+    assert truncation.significant_lengths(df.limit(0)).count() == 0
+
+
 SENTENCES = {
     "en": "the house of the old man was near the river and it was built by his son who had come from the town in the year after the war. no document of the council says that they could not agree on it, and this would contradict what other people have told us. which of the two was the first to leave is not known. she kept the letter that he wrote when the work was done",
     "de": "das haus des alten mannes war nahe dem fluss und es wurde von seinem sohn gebaut der aus der stadt kam und nach dem krieg dort wohnte. kein schreiben des rates sagt dass sie sich nicht einigen konnten, und das widerspricht dem was andere leute uns gesagt haben. wer von den beiden zuerst ging ist nicht bekannt. sie behielt den brief den er schrieb als die arbeit getan war",
