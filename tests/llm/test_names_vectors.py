@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from loomgraph.llm import knn
+from loomgraph.llm import knn, spellings
 from loomgraph.llm.spellings import asks, channel, link_spellings, normal_form, one_edit, posts
 
 
@@ -107,3 +107,20 @@ def test_near_equal_vectors_and_ties(spark):
     vectors = dict(zip(*rows, strict=True))
     got = {tuple(r) for r in knn.similar_pairs(df, dim=16).collect()}
     assert all(knn.np.round(np.dot(vectors[a], vectors[b]), 6) >= 0.8 for a, b in got) and len({x for p in got for x in p}) == 40
+
+
+def test_short_forms_are_learnt_from_the_names(spark):
+    surnames = ["Mekapame", "Tolvarin", "Osgrabel", "Pindural", "Quastemo"]
+    rows = [f"Daniel {s}" for s in surnames for _ in range(3)] + [f"Danny {s}" for s in surnames] + [f"Thomas {s}" for s in surnames] + ["Dorian Mekapame", "danny", None, "", "Daniel", "A"]
+    df = spark.createDataFrame([(r,) for r in rows], "text string")
+    forms = df.filter("text <> ''").select(spellings.F.lower("text").alias("t")).distinct().select(spellings.F.array_join(spellings.F.array_sort(spellings.F.split("t", " ")), " ").alias("form"))
+    assert spellings.learnt_short_forms(forms) == {"danny": "daniel"}
+    assert spellings.learnt_short_forms(forms.limit(0)) == {}
+    got = {tuple(r) for r in spellings.link_spellings(df).collect()}
+    assert {("Daniel " + s, "Danny " + s) for s in surnames} <= got
+    assert not any("Thomas" in x or "Dorian" in x for p in got for x in p)
+
+
+@pytest.mark.parametrize(("short", "full", "yes"), [("danny", "daniel", True), ("zach", "zachary", True), ("thea", "dorothea", True), ("inst", "institute", True), ("lake", "port", False), ("robert", "thomas", False), ("ann", "anna", True), ("karl", "carl", False), ("x", "xaver", False), ("fred", "fred", False), ("hettie", "henrietta", False)])
+def test_looks_of_short_forms(short, full, yes):
+    assert spellings.shortens(short, full) is yes
