@@ -22,7 +22,7 @@ SHARD = 16_384
 #: them with the probability CAUGHT.
 DIVISIONS, NEAR, CAUGHT = 8, 0.9, 0.99
 #: Vectors the medians of the divisions are fitted on, at most, and the fewest a median is taken of.
-SAMPLE, FEWEST = 100_000, 32
+SAMPLE, FEWEST = 20_000, 32
 #: Most similar classes kept of each shard and over all shards, and smallest ids a class of equal vectors offers.
 KEEP, OFFER = 8, 6
 
