@@ -66,7 +66,9 @@ def beam_search(starts: DataFrame, adjacency: DataFrame, vectors: DataFrame, que
     node makes its parent. The window keeps ``width`` rows a question on each task before the exchange.
     """
     scratch = Scratch(starts.sparkSession, "beam")
-    adjacency = scratch.write(adjacency, "adjacency")
+    adjacency, questions = scratch.write(adjacency, "adjacency"), scratch.write(questions.select("question_id", "vec"), "questions")
+    # read at every depth, so made once
+    vectors = scratch.write(vectors.select("node_id", "vec"), "vectors")
     tree = scratch.write(starts.select("question_id", "node_id").distinct().select("question_id", "node_id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(0.0).alias("raw_score"), F.array("node_id").alias("path")), "tree")
     frontier = tree
     ents = adjacency.filter(F.col("edge_type") == MENTIONS).select("node_id", F.col("neighbour").alias("entity"))

@@ -12,7 +12,8 @@ from ..functions import text as T
 from ..functions.replies import reply_field
 from ..functions.vector import cosine, hashed_words
 from ..operators import evaluation, graph, knn, linking, traversal
-from ..session import read_table
+from ..session import Scratch, read_table
+from ..sources.documents import load_or_compute
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -361,8 +362,35 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", hashed_words("question").alias("vec"), hashed_words("title").alias("gap"))
 
 
+_ROOTS: dict[tuple, str] = {}
+
+
+def _stored(s: SparkSession, d: str, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """What questions are answered from, made by the first query that needs it and read by all others.
+
+    It is made again when a file of the tables it comes from has changed.
+    """
+    files = tuple(sorted(f for t in ("documents", "propositions", "entities", "linking_decisions") for f in read_table(s, d, t).inputFiles()))
+    conf, path = s.sparkContext._jsc.hadoopConfiguration(), s._jvm.org.apache.hadoop.fs.Path
+    status = [p.getFileSystem(conf).getFileStatus(p) for p in map(path, files)]
+    key = (s.sparkContext.applicationId, files, tuple((x.getLen(), x.getModificationTime()) for x in status))
+    if key not in _ROOTS:
+        _ROOTS[key] = Scratch(s, "known").root
+    return load_or_compute(s, f"{_ROOTS[key]}/{name}", compute)
+
+
+def _adjacency(s: SparkSession, d: str) -> DataFrame:
+    return _stored(s, d, "adjacency", lambda: graph.adjacency(_nodes(s, d), _edges(s, d)))
+
+
+def _norm(s: SparkSession, d: str) -> float:
+    mentions = _adjacency(s, d).select(F.col("node_id").alias("src"), "edge_type")
+    one = _stored(s, d, "global_statistics", lambda: graph.global_statistics(graph.entity_degree(_nodes(s, d), mentions))).first()
+    return one["norm"] if one else 1.0
+
+
 def _prop_vectors(s: SparkSession, d: str) -> DataFrame:
-    return _props(s, d).select("node_id", "doc_id", hashed_words("text").alias("vec"))
+    return _stored(s, d, "node_vectors", lambda: _props(s, d).select("node_id", "doc_id", hashed_words("text").alias("vec")))
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
@@ -397,7 +425,7 @@ _EXPAND = """cand AS (
 
 @query(f"{_GRAPH}, {_ADJ}, {_QV}, {_PV}, {_SEM}, {_EXPAND} SELECT * FROM cand")
 def neighbour_expand(s: SparkSession, d: str) -> DataFrame:
-    return traversal.neighbours(_anchors(s, d).select("question_id", "node_id"), graph.adjacency(_nodes(s, d), _edges(s, d)), ["SKELETON", "DETAIL"])
+    return traversal.neighbours(_anchors(s, d).select("question_id", "node_id"), _adjacency(s, d), ["SKELETON", "DETAIL"])
 
 
 @query(f"""{_GRAPH}, {_ADJ}, {_QV}, {_PV}, {_SEM}, {_EXPAND},
@@ -406,16 +434,14 @@ def neighbour_expand(s: SparkSession, d: str) -> DataFrame:
               WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.question_id = c.question_id AND s.entity = j.neighbour) GROUP BY 1, 2)
     SELECT c.question_id, c.node_id, c."to", coalesce(f.n, 0) AS "new" FROM cand c LEFT JOIN fresh f ON f.question_id = c.question_id AND f."to" = c."to" """)
 def new_entities(s: SparkSession, d: str) -> DataFrame:
-    adj = graph.adjacency(_nodes(s, d), _edges(s, d))
+    adj = _adjacency(s, d)
     a = _anchors(s, d).select("question_id", "node_id")
     visited = a.join(adj.filter(F.col("edge_type") == graph.MENTIONS), "node_id").select("question_id", F.col("neighbour").alias("entity")).distinct()
     return traversal.new_entities(traversal.neighbours(a, adj, ["SKELETON", "DETAIL"]), adj, visited).select("question_id", "node_id", "to", "new")
 
 
 def _beam(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _nodes(s, d), _edges(s, d)
-    norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
-    return traversal.beam_search(_anchors(s, d), graph.adjacency(nodes, edges), _prop_vectors(s, d), _questions(s, d), norm["norm"] if norm else 1.0)
+    return traversal.beam_search(_anchors(s, d), _adjacency(s, d), _prop_vectors(s, d), _questions(s, d), _norm(s, d))
 
 
 def _beam_sql() -> str:
@@ -613,13 +639,11 @@ def facts_forall(s: SparkSession, d: str) -> DataFrame:
 def agent_round(s: SparkSession, d: str) -> DataFrame:
     from ..operators.agent import run_rounds
 
-    nodes, edges = _nodes(s, d), _edges(s, d)
-    norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
     questions = _questions(s, d)
     names = questions.select("question_id", F.lit(1).alias("pos"), F.col("gap").alias("vec"))  # the gap is a title, which is a name
     # nodes of one text have one vector, and the smallest node wins the tie
-    entities = nodes.filter("node_type <> 'proposition'").groupBy("text").agg(F.min("node_id").alias("node_id")).select("node_id", hashed_words("text").alias("vec"))
-    return run_rounds(questions, graph.adjacency(nodes, edges), _prop_vectors(s, d), norm["norm"] if norm else 1.0, names=names, entities=entities)
+    entities = _nodes(s, d).filter("node_type <> 'proposition'").groupBy("text").agg(F.min("node_id").alias("node_id")).select("node_id", hashed_words("text").alias("vec"))
+    return run_rounds(questions, _adjacency(s, d), _prop_vectors(s, d), _norm(s, d), names=names, entities=entities)
 
 
 @query(f"""{_GRAPH}, {_ADJ}, {_QV}, {_PV}, {_SEM}, {_EXPAND},
@@ -631,7 +655,7 @@ def retrieve_documents(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Documents to graph to anchors, one hop, and the five best documents of every question."""
-    adj = graph.adjacency(_nodes(s, d), _edges(s, d))
+    adj = _adjacency(s, d)
     anchors = _anchors(s, d).select("question_id", "node_id")
     hop = traversal.neighbours(anchors, adj, ["SKELETON", "DETAIL"]).select("question_id", F.col("to").alias("node_id"))
     reached = anchors.unionByName(hop).distinct().join(_prop_vectors(s, d), "node_id").join(_questions(s, d).select("question_id", F.col("vec").alias("q")), "question_id")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators import evaluation, graph, paths, stages
+from ..operators import evaluation, paths, stages
 from ..operators.agent import fallback_answers as first_documents
 from ..operators.agent import gap_status
 from ..session import read_table
-from .catalogue import _F1, _NORM, _RUNS, _documents, _edges, _nodes, _runs, query
+from .catalogue import _F1, _NORM, _RUNS, _documents, _runs, query
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
@@ -400,13 +400,11 @@ def final_answers(s: SparkSession, d: str) -> DataFrame:
 @query()
 def grouped_beam(s: SparkSession, d: str) -> DataFrame:
     """Two groups of starts a question, the first anchors with all edges and the rest with details only, at one width."""
-    from .catalogue import _anchors, _prop_vectors, _questions
+    from .catalogue import _adjacency, _anchors, _norm, _prop_vectors, _questions
 
-    nodes, edges = _nodes(s, d), _edges(s, d)
-    norm = graph.global_statistics(graph.entity_degree(nodes, edges)).first()
     group = F.when(F.col("anchor_rank") <= 5, 1).otherwise(2)
     starts = _anchors(s, d).select("question_id", group.alias("group_id"), "node_id")
     both = F.array(F.lit("SKELETON"), F.lit("DETAIL"))
     groups = starts.select("question_id", "group_id").distinct().withColumn("edges", F.when(F.col("group_id") == 1, both).otherwise(F.array(F.lit("DETAIL"))))
-    found = paths.grouped_beam(starts, groups, graph.adjacency(nodes, edges), _prop_vectors(s, d), _questions(s, d), norm["norm"] if norm else 1.0, 6, 4)
+    found = paths.grouped_beam(starts, groups, _adjacency(s, d), _prop_vectors(s, d), _questions(s, d), _norm(s, d), 6, 4)
     return found.select("question_id", "group_id", F.array_join("path", " ").alias("path"), "raw_score", "depth")

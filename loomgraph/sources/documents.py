@@ -119,8 +119,8 @@ def load_artefacts(spark: SparkSession, path: str, required: tuple[str, ...] = (
 
 
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """A stored table; where there is none it is computed, stored and read back."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """A stored table; where there is none, or only the beginning of one, it is computed, stored and read back."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

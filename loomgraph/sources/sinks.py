@@ -65,7 +65,7 @@ def persist_artefacts(nodes: DataFrame, edges: DataFrame, documents: DataFrame,
     spark = nodes.sparkSession
     G.adjacency(nodes, edges).write.mode("overwrite").parquet(f"{path}/adjacency")
     adjacency = spark.read.parquet(f"{path}/adjacency")
-    degrees = G.entity_degree(nodes, edges)
+    degrees = G.entity_degree(nodes, adjacency.select(F.col("node_id").alias("src"), "edge_type"))
     named = nodes.filter("node_type <> 'proposition'").select("node_id", "node_type", "text", F.lit(0).cast("long").alias("member_count"))
     if globals_ is not None:
         named = named.unionByName(globals_.select(F.col("global_id").alias("node_id"), F.lit("global_entity").alias("node_type"), "text", F.col("member_count").cast("long").alias("member_count")))

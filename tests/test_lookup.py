@@ -110,6 +110,8 @@ def test_stored_indexes_and_tables(spark, tmp_path):
     made = []
     compute = lambda: made.append(1) or v
     assert D.load_or_compute(spark, f"{tmp_path}/t", compute).count() == D.load_or_compute(spark, f"{tmp_path}/t", compute).count() == len(made) == 1
+    (tmp_path / "half").mkdir()  # a table whose writing was cut short is made again
+    assert D.load_or_compute(spark, f"{tmp_path}/half", compute).count() == 1 and len(made) == 2
     sinks.save_candidates(v, v, v, f"{tmp_path}/c")
     sinks.save_evaluation(v, v, f"{tmp_path}/e")
     assert D.load_artefacts(spark, f"{tmp_path}/c")["pairs"].count() == 1
