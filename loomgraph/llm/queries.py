@@ -107,6 +107,15 @@ _LEAKS = r"""
 """
 
 ORACLE_SQL: dict[str, str] = {
+    # all pairs of vectors: the forest leaves none out where a shard holds all of them, as at small scales
+    "p6_found": """
+        WITH v AS (SELECT DISTINCT node_id, vec FROM (SELECT unnest(node_ids) AS node_id, unnest(embeddings) AS vec FROM embedding_responses)
+                   WHERE node_id IS NOT NULL AND vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+        u AS (SELECT node_id, vec::DOUBLE[] AS d, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS n FROM v),
+        s AS (SELECT a.node_id AS x, b.node_id AS y, round(list_dot_product(a.d, b.d) / (a.n * b.n), 6) AS sim FROM u a, u b WHERE a.node_id <> b.node_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS k FROM s)
+        SELECT DISTINCT least(x, y) AS node_lo, greatest(x, y) AS node_hi FROM r WHERE k <= 5 AND sim >= 0.8
+    """,
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, question_id FROM leak",
     "p9_report": f"WITH {_LEAKS} SELECT question_id, count(*) AS n_docs FROM leak GROUP BY question_id",
     "p1_found": """
