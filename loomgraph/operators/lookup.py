@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import EmbeddingModel, embed_distinct
+from ..session import Scratch
+from .skew import numbered
 
 
 def lookup_rows(nodes: DataFrame) -> DataFrame:
@@ -17,9 +19,9 @@ def lookup_rows(nodes: DataFrame) -> DataFrame:
     ``nodes`` has node_id, node_type (entity or global_entity), text and member_count.
     """
     named = nodes.filter(F.col("node_type").isin("entity", "global_entity")).withColumn("name", F.lower(F.trim("text"))).filter("name <> ''")
-    # a name in a third of all documents is one window partition; its rows are few columns wide and spill
-    place = F.row_number().over(Window.partitionBy("name", "node_type").orderBy(F.coalesce("member_count", F.lit(0)).desc(), "node_id"))
-    return named.select("name", F.col("node_type").alias("kind"), place.alias("place"), "node_id")
+    rows = named.select("name", F.col("node_type").alias("kind"), F.coalesce("member_count", F.lit(0)).alias("_m"), "node_id")
+    placed = numbered(rows, ["name", "kind"], [F.col("_m").desc(), F.col("node_id")], "place", Scratch(nodes.sparkSession, "lookup"))
+    return placed.select("name", "kind", "place", "node_id")
 
 
 def best_nodes(nodes: DataFrame, prefer_global: bool = True) -> DataFrame:

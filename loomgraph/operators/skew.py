@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Bounds of the number of parts a key's share is measured against.
 LEAST_PARTS, MOST_PARTS = 64, 4_096
 
@@ -37,3 +39,16 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list, how: str
     cold = left.filter(~is_hot).join(right.filter(~is_hot), key, how)
     warm = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
     return cold.unionByName(warm)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with their row number within the keys, counted from 1 in the order, which must be total.
+
+    Rows are range-partitioned by keys and order together, so a key with a third of all rows is spread over many
+    tasks; each numbers its own rows, and the counts of the parts before a part are added.
+    """
+    parts = scratch.write(rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return parts.withColumn("_within", within).join(counts, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")

@@ -151,3 +151,18 @@ def test_fusion(spark):
     fused = spark.createDataFrame([(1, "g", ["a", "b", "a", None]), (2, "g", ["b", "c"]), (3, "g", ["a", "zz"]), (4, "g", None)], "fused_id long, group_id string, original_ids array<string>")
     valid = linking.valid_fusions(fused, members)
     assert {r["id"]: r["fused_id"] for r in linking.fusion_map(valid).collect()} == {"a": 1, "b": 2, "c": 2}
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    from loomgraph.session import Scratch
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 30)}", rng.randint(0, 50), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, score int, id long").repartition(8)
+    got = {r["id"]: r["n"] for r in skew.numbered(df, ["k"], [F.col("score").desc(), F.col("id")], "n", Scratch(spark, "t")).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 1):
+            want[r[2]] = n
+    assert got == want
+    assert skew.numbered(df.limit(0), ["k"], [F.col("id")], "n", Scratch(spark, "t")).count() == 0
