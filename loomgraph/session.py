@@ -20,12 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only in local mode (tests, a laptop) a folder of the machine stands in for a missing setting; on a cluster
     that is an error, as executors would not see each other's files.
     """
+    global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (jsc := getattr(spark.sparkContext, "_jsc", None)) is not None:
+        told = jsc.sc().getCheckpointDir()  # as told to the running context
+        named = told.get() if told.isDefined() and _own_dir is None else None
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
-    global _own_dir
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(_own_dir)
