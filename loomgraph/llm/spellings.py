@@ -96,13 +96,13 @@ def learnt_short_forms(forms: DataFrame) -> dict[str, str]:
     heads = F.array(F.concat(F.lit("^"), F.substring("word", 1, 2)), F.concat(F.lit("$"), F.expr("right(word, 4)")))
     keyed = each.select("rest", "word", F.explode(heads).alias("end"))
     few = keyed.groupBy("rest", "end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, VARIETY)).select("rest", "end")
-    some = keyed.join(few, ["rest", "end"])
+    some = keyed.join(few.hint("merge"), ["rest", "end"])
     looks = F.pandas_udf(lambda a, b: pd.Series([shortens(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    pairs = some.withColumnRenamed("word", "x").join(some.withColumnRenamed("word", "y"), ["rest", "end"]).filter("x <> y").select("rest", "x", "y").distinct()
+    pairs = some.withColumnRenamed("word", "x").join(some.withColumnRenamed("word", "y").hint("merge"), ["rest", "end"]).filter("x <> y").select("rest", "x", "y").distinct()
     met = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).filter(looks("x", "y"))
     total = each.groupBy(F.col("word").alias("x")).agg(F.count(F.lit(1)).alias("all"))
     out: dict[str, str] = {}
-    for r in met.join(total, "x").filter(F.col("n") >= SHARE * F.col("all")).select("x", "y").orderBy("x", "y").collect():
+    for r in met.join(total.hint("merge"), "x").filter(F.col("n") >= SHARE * F.col("all")).select("x", "y").orderBy("x", "y").collect():
         out[r["x"]] = f"{out[r['x']]} {r['y']}" if r["x"] in out else r["y"]
     return out
 
@@ -272,7 +272,8 @@ def link_spellings(names: DataFrame) -> DataFrame:
     words; the canonical form must leave out less of the name, or as much and be more frequent. Roots are
     followed by pointer jumping; all spellings under one root are one entity. Short forms of names are the fixed ones and those
     learnt from the names themselves (see ``learnt_short_forms``). Types are not used, as they
-    are not always right.
+    are not always right. All tables joined here grow with the names, so none is broadcast, whatever its files weigh:
+    a table under the threshold on disk takes many times that in the driver.
 
     Defined cases: null, blank and placeholder texts are no spellings; outer blanks are removed, letter case
     is kept; repeated rows raise the frequency only; a form without candidate stays by itself; equal
@@ -302,8 +303,10 @@ def link_spellings(names: DataFrame) -> DataFrame:
 
     posted = forms.select(F.col("form").alias("c"), F.explode(posts_of("form")).alias("key"))
     asked = forms.select(F.col("form").alias("v"), F.explode(asks_of("form")).alias("key"))
-    met = asked.join(posted, "key").filter("v <> c").select("v", "c").distinct()
-    met = met.join(forms.select(F.col("form").alias("v"), F.col("n").alias("nv"), F.col("level").alias("lv")), "v").join(forms.select(F.col("form").alias("c"), F.col("n").alias("nc"), F.col("level").alias("lc")), "c")
+    met = asked.join(posted.hint("merge"), "key").filter("v <> c").select("v", "c").distinct()
+    of_v = forms.select(F.col("form").alias("v"), F.col("n").alias("nv"), F.col("level").alias("lv"))
+    of_c = forms.select(F.col("form").alias("c"), F.col("n").alias("nc"), F.col("level").alias("lc"))
+    met = met.join(of_v.hint("merge"), "v").join(of_c.hint("merge"), "c")
     before = (F.col("lc") < F.col("lv")) | ((F.col("lc") == F.col("lv")) & (F.struct(F.col("nc"), F.col("v")) > F.struct(F.col("nv"), F.col("c"))))
 
     @F.pandas_udf("double")
@@ -317,13 +320,13 @@ def link_spellings(names: DataFrame) -> DataFrame:
     roots = scratch.write(parent, "roots")
     while True:  # pointer jumping: the depth halves each time
         up = roots.select(F.col("form").alias("root"), F.col("root").alias("next"))
-        new = scratch.write(roots.join(up, "root", "left").select("form", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = scratch.write(roots.join(up.hint("merge"), "root", "left").select("form", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = new.filter("moved").limit(1).count()
         scratch.drop(roots)
         roots = new.drop("moved")
         if not moved:
             break
-    named = scratch.write(spellings.join(roots, "form", "left").select("text", F.coalesce("root", "form").alias("root")), "named")
+    named = scratch.write(spellings.join(roots.hint("merge"), "form", "left").select("text", F.coalesce("root", "form").alias("root")), "named")
     x, y = named.alias("x"), named.alias("y")
-    pairs = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.text") < F.col("y.text")))
+    pairs = x.join(y.hint("merge"), (F.col("x.root") == F.col("y.root")) & (F.col("x.text") < F.col("y.text")))
     return pairs.select(F.col("x.text").alias("text_lo"), F.col("y.text").alias("text_hi"))

@@ -40,6 +40,18 @@ def test_frequent_words_link_variants(spark):
     assert got == {("H. Mekapame", "Henrietta Mekapame"), ("H. Mekapame", "Hettie Mekapame"), ("Henrietta Mekapame", "Hettie Mekapame")}
 
 
+def test_growing_tables_are_not_broadcast(spark):
+    df = spark.createDataFrame([(n,) for n in ["Adalbert Mekapame"] * 3 + ["Bertl Mekapame", "A Mekapame", "Mekapame Lake", "Lake Mekapame"]], "text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: store.executionsList().size()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(listed())}
+    assert len(link_spellings(df).collect()) == 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [e.physicalPlanDescription() for i in range(listed()) if (e := store.executionsList().apply(i)).executionId() not in before]
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("BroadcastExchange" in p for p in plans)
+
+
 def brute(vectors, k, least):
     ids = sorted(vectors)
     m = np.array([vectors[i] for i in ids], float)
