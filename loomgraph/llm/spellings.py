@@ -49,8 +49,6 @@ GIVEN = frozenset(NICKNAMES) | frozenset(n for meant in NICKNAMES.values() for n
 _FIXED = dict(NICKNAMES)
 #: A short form is learnt from so many different names at least, that are this share of the names it is in.
 SEEN, SHARE = 3, 0.5
-#: Names that have more different words than this in one place teach nothing: there they meet by chance.
-VARIETY = 50
 
 
 def _use(learnt: dict[str, str]) -> None:
@@ -64,24 +62,41 @@ def _use(learnt: dict[str, str]) -> None:
             cached.cache_clear()
 
 
+def _stem(short: str) -> str:
+    """A word without its pet ending and the letter doubled before it."""
+    stem = re.sub(r"(?:ie|ey|y|i|e|s)$", "", short)
+    return stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] else stem
+
+
 def shortens(short: str, full: str) -> bool:
     """Whether a word looks like a short form of another: its beginning with a pet ending or none, or its end."""
     if short == full or min(len(short), len(full)) < 2 or (len(short) > 3 and len(full) > 3 and one_edit(short, full)):
         return False
-    stem = re.sub(r"(?:ie|ey|y|i|e|s)$", "", short)
-    stem = stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] else stem
+    stem = _stem(short)
     if len(stem) > 2 and full.startswith(stem) and len(stem) < len(full) or short == stem and len(short) > 2 and full.startswith(short):
         return True
     return len(short) > 3 and len(short) < len(full) and full.endswith(short)
 
 
+def short_keys(word: str) -> list[str]:
+    """What a word as a short form shares with every word it ``shortens``: the beginning or the end of that one."""
+    stem = _stem(word)
+    return ["^" + stem] * (len(stem) > 2) + ["$" + word] * (len(word) > 3)
+
+
+def full_keys(word: str) -> list[str]:
+    """The beginnings and ends of a word that a short form of it can have."""
+    return ["^" + word[:i] for i in range(3, len(word))] + ["$" + word[-i:] for i in range(4, len(word))]
+
+
 def learnt_short_forms(forms: DataFrame) -> dict[str, str]:
     """Short forms and what they stand for, from normal forms that differ in one word.
 
     A word x is taken for a short form of y when it looks like one and at least SEEN different names, and the
-    SHARE of all names that have x, are also there with y in its place. Names are met by the rest of their words
-    and the first letters or the last ones of the word; rests with more than VARIETY such words are left out
-    as evidence only. What is learnt is a list of words, so it is small beside the data.
+    SHARE of all names that have x, are also there with y in its place; all names count, however many words are met
+    in one place. Which words look like short forms of which is told first, from the different words by keys; y
+    must be in the SHARE of as many names as x, so the rows that are compared grow with the names only. What is
+    learnt is a list of words, so it is small beside the data.
     """
 
     @F.pandas_udf("array<struct<rest:string,word:string>>")
@@ -92,18 +107,20 @@ def learnt_short_forms(forms: DataFrame) -> dict[str, str]:
 
         return forms.map(of)
 
-    each = forms.select(F.explode(parts("form")).alias("p")).select("p.rest", "p.word").distinct()
-    heads = F.array(F.concat(F.lit("^"), F.substring("word", 1, 2)), F.concat(F.lit("$"), F.expr("right(word, 4)")))
-    keyed = each.select("rest", "word", F.explode(heads).alias("end"))
-    few = keyed.groupBy("rest", "end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, VARIETY)).select("rest", "end")
-    some = keyed.join(few.hint("merge"), ["rest", "end"])
+    scratch = Scratch(forms.sparkSession, "short-forms")
+    each = scratch.write(forms.select(F.explode(parts("form")).alias("p")).select("p.rest", "p.word").distinct(), "each")
+    often = scratch.write(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN), "often")
+    keys_of = {f: F.pandas_udf(lambda s, f=f: s.map(f), "array<string>") for f in (short_keys, full_keys)}
     looks = F.pandas_udf(lambda a, b: pd.Series([shortens(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    pairs = some.withColumnRenamed("word", "x").join(some.withColumnRenamed("word", "y").hint("merge"), ["rest", "end"]).filter("x <> y").select("rest", "x", "y").distinct()
-    met = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).filter(looks("x", "y"))
-    total = each.groupBy(F.col("word").alias("x")).agg(F.count(F.lit(1)).alias("all"))
+    shorts = often.select(F.col("word").alias("x"), F.col("n").alias("all"), F.explode(keys_of[short_keys]("word")).alias("key"))
+    fulls = often.select(F.col("word").alias("y"), F.col("n").alias("ny"), F.explode(keys_of[full_keys]("word")).alias("key"))
+    alike = shorts.join(fulls.hint("merge"), "key").filter((F.col("x") != F.col("y")) & (F.col("ny") >= SHARE * F.col("all"))).select("x", "y", "all").distinct().filter(looks("x", "y"))
+    asked = each.withColumnRenamed("word", "x").join(alike.hint("merge"), "x")
+    met = asked.join(each.withColumnRenamed("word", "y").hint("merge"), ["rest", "y"]).groupBy("x", "y", "all").agg(F.count(F.lit(1)).alias("n"))
     out: dict[str, str] = {}
-    for r in met.join(total.hint("merge"), "x").filter(F.col("n") >= SHARE * F.col("all")).select("x", "y").orderBy("x", "y").collect():
+    for r in met.filter((F.col("n") >= SEEN) & (F.col("n") >= SHARE * F.col("all"))).select("x", "y").orderBy("x", "y").collect():
         out[r["x"]] = f"{out[r['x']]} {r['y']}" if r["x"] in out else r["y"]
+    scratch.drop(each, often)
     return out
 
 

@@ -133,6 +133,20 @@ def test_short_forms_are_learnt_from_the_names(spark):
     assert not any("Thomas" in x or "Dorian" in x for p in got for x in p)
 
 
+def test_short_forms_are_learnt_beside_many_words(spark):
+    rng = np.random.default_rng(11)
+    others = ["da" + "".join(rng.choice(list("bcfgk"), 6)) for _ in range(60)]  # more than 50 words with one beginning
+    rows = [(f"{w} {s}",) for s in ("mekapame", "tolvarin", "zosgrabel") for w in ["daniel", "danny", *others]]
+    assert spellings.learnt_short_forms(spark.createDataFrame(rows, "form string")) == {"danny": "daniel"}
+
+
+def test_short_forms_meet_by_keys():
+    rng = np.random.default_rng(12)
+    drawn = sorted({"".join(rng.choice(list("anise"), rng.integers(1, 8))) for _ in range(400)}) + ["danny", "daniel", "zach", "zachary", "thea", "dorothea", "bess", "bessie"]
+    pairs = [(x, y) for x in drawn for y in drawn if spellings.shortens(x, y)]
+    assert len(pairs) > 50 and all(set(spellings.short_keys(x)) & set(spellings.full_keys(y)) for x, y in pairs)
+
+
 @pytest.mark.parametrize(("short", "full", "yes"), [("danny", "daniel", True), ("zach", "zachary", True), ("thea", "dorothea", True), ("inst", "institute", True), ("lake", "port", False), ("robert", "thomas", False), ("ann", "anna", True), ("karl", "carl", False), ("x", "xaver", False), ("fred", "fred", False), ("hettie", "henrietta", False)])
 def test_looks_of_short_forms(short, full, yes):
     assert spellings.shortens(short, full) is yes
