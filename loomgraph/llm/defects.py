@@ -6,20 +6,18 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .endings import OPENERS
 from .words import words
 
-#: Labelled texts of each language the language model is fitted on, at most.
-LABELLED = 300
-#: Questions without label the language model is adapted to, at most.
-PROMPTS = 2_000
+#: Different words a task counts before it hands them on.
+COUNTED = 300_000
 #: Pairs that are judged by one task, while there are no more than MOST_TASKS.
 ROWS, MOST_TASKS = 5_000, 20_000
 #: Log odds against prompt and response being of one language from which the pair counts as defective.
@@ -104,6 +102,37 @@ def _shares(logs: dict[str, float]) -> dict[str, float]:
     return {k: v / total for k, v in each.items()}
 
 
+def gram_counts(counted: Iterable[tuple[str, int]]) -> Counter:
+    """How often each n-gram occurs in words that occur so often."""
+    grams: Counter = Counter()
+    for w, n in counted:
+        for g in _grams(w):
+            grams[g] += n
+    return grams
+
+
+def count_ends(text: str, ends: Counter, inner: Counter) -> None:
+    """Count the words that end the sentences of a text, and the others in these."""
+    for part in re.split(r"(?<=[.!?])\s+", text.strip()):
+        tokens = part.split()
+        if len(tokens) > 3 and tokens[-1][-1] in ".!?":
+            ends[" " + tokens[-1].rstrip(".!?")] += 1
+            inner.update(" " + t for t in tokens[:-1])
+
+
+def end_pieces(word: str, n: int, last: bool, end: Counter, mid: Counter) -> None:
+    """Count the last characters of a word that ends a sentence, and those before a cut in a word.
+
+    A cut may fall behind every character of a word; behind the whole last word the sentence ends.
+    """
+    if last:
+        for k in range(1, min(CONTEXT, len(word)) + 1):
+            end[word[-k:]] += n
+    for i in range(2, len(word) + (not last)):
+        for k in range(1, min(CONTEXT, i) + 1):
+            mid[word[i - k : i]] += n
+
+
 class LanguageModel:
     """Naive Bayes over character n-grams of small words, and the likelihood of characters that end sentences."""
 
@@ -118,20 +147,33 @@ class LanguageModel:
         self._set(kept)
         # prompts have words that labelled texts lack; each goes to its likeliest language, and the counts are made again
         for _ in range(2 if prompts else 0):
-            told = [(max(sorted(p), key=p.get), " ".join(asking_words(q))) for q in prompts if (p := self.asked(q))]
-            self._set(kept + told)
+            self._set(kept + [t for q in prompts if (t := self.told(q))])
         self.vocabulary = {w for w, n in Counter(w for _, t in kept for w in small_words(t)).items() if n > 2} | {w for t in OTHER_LANGUAGES.values() for w in small_words(t)}
         self._fit_ends([t for _, t in kept])
 
+    @classmethod
+    def of_counts(cls, labels: Iterable[str], grams: dict[str, Counter]) -> LanguageModel:
+        """A model from n-grams counted elsewhere; the words and ends of sentences are still to be given."""
+        model = cls([])
+        model.labels = frozenset(labels)
+        model._weigh({lang: grams.get(lang, Counter()) for lang in {*model.labels, *grams}})
+        return model
+
+    def told(self, question: str) -> tuple[str, str] | None:
+        """The likeliest language of a question and its words, if there is any labelled language."""
+        p = self.asked(question)
+        return (max(sorted(p), key=p.get), " ".join(asking_words(question))) if p else None
+
     def _set(self, labelled: list[tuple[str, str]]) -> None:
         seen: dict[str, Counter] = {}
-        for lang, text in [*labelled, *OTHER_LANGUAGES.items()]:
+        for lang, text in labelled:
             seen.setdefault(lang, Counter()).update(small_words(text))
-        grams = {lang: Counter() for lang in seen}
-        for lang, c in seen.items():
-            for w, n in c.items():
-                for g in _grams(w):
-                    grams[lang][g] += n
+        self._weigh({lang: gram_counts(c.items()) for lang, c in seen.items()})
+
+    def _weigh(self, labelled: dict[str, Counter]) -> None:
+        grams = {lang: Counter(c) for lang, c in labelled.items()}
+        for lang, text in OTHER_LANGUAGES.items():
+            grams.setdefault(lang, Counter()).update(gram_counts(Counter(small_words(text)).items()))
         most = self.SEEN + 0.05 * len(set().union(*grams.values())) if grams else 1.0
         self.log = {lang: {g: math.log((n * self.SEEN / c.total() + 0.05) / most) for g, n in c.items()} for lang, c in grams.items()}
         self.unseen = math.log(0.05 / most)
@@ -166,22 +208,23 @@ class LanguageModel:
         """Counts of the last characters at the end of a sentence, and of those before any other place in one."""
         ends, inner = Counter(), Counter()
         for text in texts:
-            for part in re.split(r"(?<=[.!?])\s+", text.strip()):
-                tokens = part.split()
-                if len(tokens) > 3 and tokens[-1][-1] in ".!?":
-                    ends[" " + tokens[-1].rstrip(".!?")] += 1
-                    inner.update(" " + t for t in tokens[:-1])
-        self.end, self.mid = [Counter() for _ in range(CONTEXT)], [Counter() for _ in range(CONTEXT)]
+            count_ends(text, ends, inner)
+        e, m = Counter(), Counter()
         for word, n in ends.items():
-            for k in range(1, CONTEXT + 1):
-                self.end[k - 1][word[-k:]] += n
-        # a cut may fall behind every character of a word, also of the last
-        for word, n in (inner + ends).items():
-            for i in range(2, len(word) + 1):
-                if i < len(word) or word in inner:
-                    for k in range(1, min(CONTEXT, i) + 1):
-                        self.mid[k - 1][word[i - k : i]] += n if i < len(word) else inner[word]
-        self.ends, self.places = sum(ends.values()), sum(self.mid[0].values())
+            end_pieces(word, n, True, e, m)
+        for word, n in inner.items():
+            end_pieces(word, n, False, e, m)
+        self.set_ends(((x, e[x], m[x]) for x in e.keys() | m.keys()), ends.total(), sum(n for x, n in m.items() if len(x) == 1))
+
+    def set_ends(self, pieces: Iterable[tuple[str, int, int]], ends: int, places: int) -> None:
+        """Take pieces with how often each was met at an end and elsewhere, of so many ends and other places.
+
+        Pieces met less than MET times are never asked for, so they may be left out.
+        """
+        self.end, self.mid = [Counter() for _ in range(CONTEXT)], [Counter() for _ in range(CONTEXT)]
+        for x, e, m in pieces:
+            self.end[len(x) - 1][x], self.mid[len(x) - 1][x] = e, m
+        self.ends, self.places = ends, places
 
     def end_odds(self, text: str) -> float:
         """Log likelihood of the last characters at the end of a sentence over any other place in one.
@@ -196,16 +239,92 @@ class LanguageModel:
         return -1.0
 
 
-def fit_language_model(documents: DataFrame, questions: DataFrame, per_language: int = LABELLED, prompts: int = PROMPTS) -> LanguageModel:
-    """The model from at most ``per_language`` labelled documents of each language, and ``prompts`` questions
-    without label, chosen by hashes."""
+def _rows(counts: dict[tuple[str, str], Counter]) -> pd.DataFrame:
+    rows = [(what, lang, w, n) for (what, lang), c in counts.items() for w, n in c.items()]
+    return pd.DataFrame(rows, columns=["what", "lang", "word", "n"]).astype({"n": "int64"})
+
+
+def fit_language_model(documents: DataFrame, questions: DataFrame) -> LanguageModel:
+    """The model from all labelled documents and all questions.
+
+    The steps are those of ``LanguageModel`` over lists, but tasks count and the driver gets sums: n-grams of up to
+    four letters, words met more than twice and pieces of words met MET times.
+    """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "languages")
     code = F.coalesce(*[F.when(F.lower(F.trim("lang")) == k, F.lit(v)) for k, v in CODES.items()])
-    docs = documents.select(code.alias("lang"), "text", F.xxhash64("doc_id").alias("h")).filter("lang IS NOT NULL AND length(text) >= 200")
-    # one scan: the rank below the limit is pushed under the exchange, so a task keeps that many rows a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = docs.withColumn("k", rank).filter(F.col("k") <= per_language).select("lang", "text", "k").collect()
-    asked = questions.select("question").filter("question IS NOT NULL").distinct().orderBy(F.xxhash64("question"), "question").limit(prompts).collect()
-    return LanguageModel([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["k"]))], [r["question"] for r in asked])
+    docs = documents.select(code.alias("lang"), "text").filter("lang IS NOT NULL AND length(text) >= 200")
+    kinds = "what string, lang string, word string, n long"
+
+    def counted(rows: DataFrame, label: str, shared=None) -> DataFrame:
+        """Small words of the texts, all or those ``shared`` finds in their language; of the latter also the ends."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: dict[tuple[str, str], Counter] = {}
+            for b in batches:
+                for lang, text in zip(b["lang"], b["text"], strict=True):
+                    counts.setdefault(("label", lang), Counter())[""] += 1
+                    tokens = small_words(text)
+                    if shared and shared.value.best(tokens)[0] not in (lang, None):
+                        continue
+                    counts.setdefault(("word", lang), Counter()).update(tokens)
+                    if shared:
+                        count_ends(text, counts.setdefault(("end", ""), Counter()), counts.setdefault(("inner", ""), Counter()))
+                if sum(map(len, counts.values())) > COUNTED:
+                    yield _rows(counts)
+                    counts = {}
+            yield _rows(counts)
+
+        return scratch.write(rows.mapInPandas(count, kinds).groupBy("what", "lang", "word").agg(F.sum("n").alias("n")), label)
+
+    def grams(rows: DataFrame) -> dict[str, Counter]:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield _rows({("gram", lang): gram_counts(zip(w["word"], w["n"].tolist(), strict=True)) for lang, w in b.groupby("lang")})
+
+        out: dict[str, Counter] = {}
+        for r in rows.filter("what = 'word'").mapInPandas(cut, kinds).groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+            out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+        return out
+
+    share = spark.sparkContext.broadcast
+    first = counted(docs, "all")
+    labels = [r["lang"] for r in first.filter("what = 'label'").select("lang").collect()]
+    # labels are wrong now and then: texts that clearly belong elsewhere are left out of the final count
+    kept = counted(docs, "kept", share(LanguageModel.of_counts(labels, grams(first))))
+    base = grams(kept)
+    model = LanguageModel.of_counts(labels, base)
+    asked = questions.select("question").filter("question IS NOT NULL").distinct()
+    for _ in range(2):  # prompts have words that labelled texts lack
+        shared = share(model)
+
+        def tell(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                counts: dict[tuple[str, str], Counter] = {}
+                for q in b["question"]:
+                    if t := shared.value.told(q):
+                        counts.setdefault(("word", t[0]), Counter()).update(small_words(t[1]))
+                yield _rows(counts)
+
+        new = grams(asked.mapInPandas(tell, kinds).groupBy("what", "lang", "word").agg(F.sum("n").alias("n")))
+        model = LanguageModel.of_counts(labels, {k: base.get(k, Counter()) + new.get(k, Counter()) for k in {*base, *new}})
+    common = kept.filter("what = 'word'").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2")
+    model.vocabulary |= {r["word"] for r in common.select("word").toLocalIterator()}
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            e, m = Counter(), Counter()
+            for what, w, n in zip(b["what"], b["word"], b["n"].tolist(), strict=True):
+                end_pieces(w, n, what == "end", e, m)
+            yield pd.DataFrame([(x, e[x], m[x]) for x in e.keys() | m.keys()], columns=["x", "e", "m"]).astype({"e": "int64", "m": "int64"})
+
+    tokens = kept.filter("what IN ('end', 'inner')")
+    size = F.length("word")
+    total = tokens.agg(F.sum(F.when(F.col("what") == "end", F.col("n"))), F.sum(F.when(F.col("what") == "end", F.greatest(size - 2, F.lit(0)) * F.col("n")).otherwise((size - 1) * F.col("n")))).first()
+    met = tokens.mapInPandas(pieces, "x string, e long, m long").groupBy("x").agg(F.sum("e").alias("e"), F.sum("m").alias("m")).filter(F.col("e") + F.col("m") >= MET)
+    model.set_ends(((r["x"], r["e"], r["m"]) for r in met.toLocalIterator()), total[0] or 0, total[1] or 0)
+    scratch.drop(first, kept)
+    return model
 
 
 def bare(answer: str | None) -> str:
@@ -383,7 +502,7 @@ def defective_pairs(results: DataFrame, questions: DataFrame, documents: DataFra
     Languages are told by naive Bayes over character n-grams of the words in small letters (names, which
     are the same in all languages, are left out; so are the question's own words): a pair is defective when
     the posteriors of prompt and response leave next to no probability that both are of one language. The model is
-    fitted on at most LABELLED documents of each language and adapted to at most PROMPTS questions. Truncation is told by the likelihood of the last
+    fitted on all labelled documents and adapted to all questions. Truncation is told by the likelihood of the last
     characters at the end of a sentence against any other place in one, for answers that are sentences without a
     full stop; how many of these are whole all the same is estimated over all of them, and an answer counts as
     cut when both together make it more likely than not. Refusals and copies are told by set phrases and by aligning words with edits.

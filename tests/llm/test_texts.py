@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from loomgraph.llm import neardup, packing, truncation
-from loomgraph.llm.defects import LanguageModel, bare, defect_of, defective_pairs, judge, whole_share
+from loomgraph.llm.defects import LanguageModel, bare, defect_of, defective_pairs, fit_language_model, judge, whole_share
 from loomgraph.llm.endings import cut_at_end
 from loomgraph.llm.leakage import RADIUS, WINDOW, ItemIndex, fingerprints, leak_report, leaked_items
 from loomgraph.llm.neardup import common_share, near_duplicates
@@ -363,6 +363,18 @@ def test_prompts_are_in_labelled_languages():
     assert set(p) == set(SENTENCES) and p["es"] > 0.99 and m.asked("") != {} and LanguageModel([]).asked("Who?") == {}
 
 
+def test_model_is_fitted_on_all_documents_and_questions(spark):
+    docs = [(k, " ".join(rng.sample(v.split(), 40)) + f" {'abcdefghij'[i % 10]}{k}{'klmnopqrst'[i // 10 % 10]}{'uvwx'[i // 100]} end. " + (v + ". ")) for k, v in SENTENCES.items() for i in range(320)]
+    docs += [("en", SENTENCES["de"] + ". ")] * 3 + [("de", "X" * 300), ("fr", SENTENCES["fr"] + " ... ")]
+    asked = [f"Who built the {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efg'[i // 1000]} mill?" for i in range(2100)]
+    want = LanguageModel(docs, asked)
+    got = fit_language_model(spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string"), spark.createDataFrame([(q,) for q in [*asked, None]], "question string"))
+    assert got.labels == want.labels and got.vocabulary == want.vocabulary and got.log.keys() == want.log.keys() and got.unseen == pytest.approx(want.unseen)
+    assert all(got.log[k].keys() == want.log[k].keys() and got.log[k] == pytest.approx(want.log[k]) for k in want.log)
+    assert (got.ends, got.places) == (want.ends, want.places)
+    assert all(got.end_odds(x) == want.end_odds(x) for x in [w for _, t in docs[::40] for w in t.split()])
+
+
 def test_defective_pairs(spark):
     docs = spark.createDataFrame([(i * 4 + j, k.upper(), (v + ". ") * 3) for j, (k, v) in enumerate(SENTENCES.items()) for i in range(4)] + [(99, None, None)], "doc_id long, lang string, text string")
     asked = [(1, "Who built the old house of the town?", "Ann Lee"), (2, "Wer hat das alte Haus der Stadt gebaut?", None), (3, None, "N/A"), (None, "Who?", "")]
