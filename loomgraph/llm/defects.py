@@ -60,13 +60,27 @@ _REFUSAL = re.compile(
 _BARE_TAIL = re.compile(r"[.!?][\"”“’'»«)\]]*$")
 
 
+_LOWER = bytes(range(97, 123))
+_OTHER = bytes(i for i in range(128) if not chr(i).isalpha())
+
+
+def _capitals(text: str) -> bool:
+    """Whether more than 0.7 of the letters are capitals."""
+    b = text.encode(errors="replace")
+    lower = len(b) - len(b.translate(None, _LOWER))
+    most = len(text) - lower - (len(b) - len(b.translate(None, _OTHER)))  # capitals there can be at most
+    if 3 * most < 7 * lower:
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return bool(letters) and sum(c.isupper() for c in letters) > 0.7 * len(letters)
+
+
 def small_words(text: str, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
     """The words of a text that may tell its language: in small letters, and no words of ``known`` names.
 
     A text wholly in capitals is read in small letters.
     """
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) > 0.7 * len(letters):
+    if _capitals(text):
         text = text.lower()
     return [w for w in re.findall(r"[^\W\d_]+", text) if w == w.lower() and w not in known]
 

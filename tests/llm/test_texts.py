@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from loomgraph.llm import neardup, packing, truncation
-from loomgraph.llm.defects import LanguageModel, bare, defect_of, defective_pairs, fit_language_model, judge, whole_share
+from loomgraph.llm.defects import LanguageModel, _capitals, bare, defect_of, defective_pairs, fit_language_model, judge, whole_share
 from loomgraph.llm.endings import cut_at_end
 from loomgraph.llm.leakage import RADIUS, WINDOW, ItemIndex, fingerprints, leak_report, leaked_items
 from loomgraph.llm.neardup import common_share, near_duplicates
@@ -375,6 +375,12 @@ def test_model_is_fitted_on_all_documents_and_questions(spark):
     assert all(got.end_odds(x) == want.end_odds(x) for x in [w for _, t in docs[::40] for w in t.split()])
 
 
+def test_texts_in_capitals():
+    drawn = ["".join(rng.choices("aàßz AÀÉZ.1²_ǅЖж\ud800漢", weights=[w, w, w, w, *[1] * 14], k=rng.randint(0, 40))) for w in (0, 1, 3) for _ in range(2000)]
+    want = [bool(x := [c for c in t if c.isalpha()]) and sum(c.isupper() for c in x) > 0.7 * len(x) for t in drawn]
+    assert [_capitals(t) for t in drawn] == want and 100 < sum(want) < 5000
+
+
 def test_defective_pairs(spark):
     docs = spark.createDataFrame([(i * 4 + j, k.upper(), (v + ". ") * 3) for j, (k, v) in enumerate(SENTENCES.items()) for i in range(4)] + [(99, None, None)], "doc_id long, lang string, text string")
     asked = [(1, "Who built the old house of the town?", "Ann Lee"), (2, "Wer hat das alte Haus der Stadt gebaut?", None), (3, None, "N/A"), (None, "Who?", "")]
